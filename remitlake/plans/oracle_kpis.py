@@ -344,6 +344,6 @@ def relations(p: FilterParams) -> dict[str, str]:
     return {**scope(p), **MONTHLY, **aging(p)}
 
 
-def kpi_statement(name: str, p: FilterParams) -> str:
+def kpi_statement(name: str, p: FilterParams, digits: int = 4) -> str:
     columns, body = KPI_SQL[name]
-    return statement(columns, body, relations(p))
+    return statement(columns, body, relations(p), digits)

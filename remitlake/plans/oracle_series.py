@@ -329,9 +329,11 @@ ETL_SQL = {
 }
 
 
-def series_statements() -> dict[str, str]:
+def series_statements(more_digits: dict[str, int]) -> dict[str, str]:
     rel = {**relations(EVERYTHING), **SERIES_REL}
     out = {f"ts_{name}": statement(c, b, rel, 3) for name, (c, b) in SERIES_SQL.items()}
-    out |= {f"metric_{name}": statement(c, b, {}) for name, (c, b) in METRIC_SQL.items()}
-    out |= {f"etl_{name}": statement(c, b, {}) for name, (c, b) in ETL_SQL.items()}
+    for prefix, group in (("metric_", METRIC_SQL), ("etl_", ETL_SQL)):
+        for name, (columns, body) in group.items():
+            key = prefix + name
+            out[key] = statement(columns, body, {}, more_digits.get(key, 4))
     return out

@@ -35,7 +35,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 WITH_DEPARTMENT = ("gross_collection_rate_trend", "payer_mix", "cpt_analysis", "core_kpis", "charge_lag_value")
 
 
-def _query(build: Callable[[Silver], DataFrame], digits: int = 4) -> Query:
+# Decimals of the results. Both engines add doubles in any order, so values are compared
+# rounded. Amounts here are multiples of 0.0001 (costs of 0.000001), which such rounding
+# leaves alone; means of a few amounts have more decimals.
+DIGITS = 4
+MORE_DIGITS = {
+    "kpi_avg_reimbursement_trend": 6, "kpi_avg_reimbursement_trend_filtered": 6, "metric_facts_operating_costs": 6,
+    "etl_operating_costs": 6,
+}
+
+
+def _query(build: Callable[[Silver], DataFrame], digits: int = DIGITS) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         return rounded(build(star_silver(spark, root)), digits)
 
@@ -53,13 +63,14 @@ def _kpi_queries() -> dict[str, Query]:
             if suffix == "_dept" and name not in WITH_DEPARTMENT:
                 continue
             measure = getattr(kpis, name)
-            out[f"kpi_{name}{suffix}"] = _query(lambda s, measure=measure, p=p: measure(s, p))
+            key = f"kpi_{name}{suffix}"
+            out[key] = _query(lambda s, measure=measure, p=p: measure(s, p), MORE_DIGITS.get(key, DIGITS))
     return out
 
 
 def _kpi_oracles() -> dict[str, str]:
     return {
-        f"kpi_{name}{suffix}": kpi_statement(name, p)
+        f"kpi_{name}{suffix}": kpi_statement(name, p, MORE_DIGITS.get(f"kpi_{name}{suffix}", DIGITS))
         for name in KPI_SQL
         for suffix, p in VARIANTS.items()
         if suffix != "_dept" or name in WITH_DEPARTMENT
@@ -150,7 +161,7 @@ def _other_queries() -> dict[str, Query]:
         out[f"proc_{name}"] = _query(lambda s, name=name: process.process_kpi(s, name))
     out["proc_all"] = _query(process.process_kpis)
     out["diag_silver_counts"] = _query(lambda s: process.row_counts("SILVER", s.tables()))
-    out["diag_bronze_counts"] = _query(lambda s: process.row_counts("BRONZE", star_raw(s)))
+    out["diag_bronze_counts"] = _query(lambda s: process.row_counts("BRONZE", {t: star_raw(s, t) for t in TABLES}))
     out["diag_gold_counts"] = _query(lambda s: process.gold_row_counts(s, AS_OF))
     for name in (
         "payment_profile", "claims_with_payments", "orphan_payments", "gcr_spot_check", "unparseable_dates",
@@ -198,11 +209,14 @@ def _metric_queries() -> dict[str, Query]:
     def metrics(table: str) -> list[str]:
         return [f"{table}.{m}" for m in semantic.METRICS[table]]
 
-    def ask(names: list[str], by: list | None = None, where: list | None = None) -> Query:
-        return _query(lambda s: semantic.metric_query(s, names, by, where))
+    def ask(names: list[str], by: list | None = None, where: list | None = None, digits: int = DIGITS) -> Query:
+        return _query(lambda s: semantic.metric_query(s, names, by, where), digits)
 
     out = {f"metric_{t}": ask(metrics(t)) for t in semantic.METRICS}
-    out |= {f"metric_facts_{t}": ask([f"{t}.{f}" for f in fs]) for t, fs in semantic.FACTS.items()}
+    out |= {
+        f"metric_facts_{t}": ask([f"{t}.{f}" for f in fs], digits=MORE_DIGITS.get(f"metric_facts_{t}", DIGITS))
+        for t, fs in semantic.FACTS.items()
+    }
     for name, table, by in (
         ("claims_to_encounters", "claims", "encounters.department"),
         ("claims_to_payers", "claims", "payers.payer_type"),
@@ -236,7 +250,10 @@ def _metric_queries() -> dict[str, Query]:
 
 
 def _etl_queries() -> dict[str, Query]:
-    out = {f"etl_{t}": _query(lambda s, t=t: ingest.to_typed(star_raw(s)[t], t)) for t in TABLES}
+    out = {
+        f"etl_{t}": _query(lambda s, t=t: ingest.to_typed(star_raw(s, t), t), MORE_DIGITS.get(f"etl_{t}", DIGITS))
+        for t in TABLES
+    }
     out["etl_load_log"] = _query(
         lambda s: _as_text(ingest.load_log_rows(s, F.lit(AS_OF_TIME).cast("timestamp_ntz")), "last_loaded_at")
     )
@@ -250,4 +267,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_oracles() -> dict[str, str]:
-    return _kpi_oracles() | view_statements() | series_statements()
+    return _kpi_oracles() | view_statements() | series_statements(MORE_DIGITS)

@@ -15,6 +15,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Column expressions then do not record the Python line they were written on.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -109,7 +109,7 @@ def to_typed(raw: DataFrame, table: str) -> DataFrame:
 
 def typed_silver(raw: dict[str, DataFrame]) -> Silver:
     """All ten tables, lazily."""
-    return Silver.from_frames({t: to_typed(raw[t], t) for t in TABLES})
+    return Silver({t: lambda t=t: to_typed(raw[t], t) for t in TABLES})
 
 
 # Tables filtered by date of service are laid out by it, so that a date range prunes

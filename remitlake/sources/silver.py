@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,59 +10,68 @@ from pyspark.sql import functions as F
 from remitlake.functions.columns import iso_date
 from remitlake.sources.schemas import DATE_COLUMNS, FLAG_COLUMNS, TABLES, missing_columns, typed_schema
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Silver:
-    """Ten typed tables. Nothing is read until a result is asked for."""
-
-    payers: DataFrame
-    patients: DataFrame
-    providers: DataFrame
-    encounters: DataFrame
-    charges: DataFrame
-    claims: DataFrame
-    payments: DataFrame
-    denials: DataFrame
-    adjustments: DataFrame
-    operating_costs: DataFrame
+    """Ten typed tables as attributes (``silver.claims``).
+
+    A table is opened and checked when it is first used, so a measure over two tables
+    touches the metadata of two. Nothing is read until a result is asked for.
+    """
+
+    def __init__(self, tables: Mapping[str, Source]):
+        self._sources = {name: tables[name] for name in TABLES}
+        self._opened: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in TABLES:
+            raise AttributeError(name)
+        if name not in self._opened:
+            source = self._sources[name]
+            self._opened[name] = checked(name, source() if callable(source) else source)
+        return self._opened[name]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}
 
-    def with_tables(self, **tables: DataFrame) -> "Silver":
-        return replace(self, **tables)
-
-    @classmethod
-    def from_frames(cls, frames: dict[str, DataFrame]) -> "Silver":
-        """Lower-case the names and fail with the list of missing required columns."""
-        checked = {}
-        for name in TABLES:
-            frame = frames[name].toDF(*[c.lower() for c in frames[name].columns])
-            missing = missing_columns(name, frame.columns)
-            if missing:
-                raise ValueError(f"Table '{name}' is missing required columns: {missing}")
-            checked[name] = frame
-        return cls(**checked)
+    def with_tables(self, **tables: Source) -> "Silver":
+        return Silver({**self._sources, **self._opened, **tables})
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Silver":
         """Read ``root/<table>``; the declared schema saves the inference pass over the footers."""
-        return cls.from_frames({t: spark.read.schema(typed_schema(t)).parquet(f"{root}/{t}") for t in TABLES})
+
+        def opener(table: str) -> Source:
+            return lambda: spark.read.schema(typed_schema(table)).parquet(f"{root}/{table}")
+
+        return cls({t: opener(t) for t in TABLES})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> "Silver":
         """Tables of one catalog database."""
-        return cls.from_frames({t: spark.table(f"{database}.{t}") for t in TABLES})
+        return cls({t: lambda t=t: spark.table(f"{database}.{t}") for t in TABLES})
+
+
+def checked(table: str, frame: DataFrame) -> DataFrame:
+    """Lower-case names; fails with the list of missing required columns."""
+    missing = missing_columns(table, frame.columns)
+    if missing:
+        raise ValueError(f"Table '{table}' is missing required columns: {missing}")
+    lower = [c.lower() for c in frame.columns]
+    return frame if lower == frame.columns else frame.toDF(*lower)
 
 
 def dashboard_types(silver: Silver) -> Silver:
     """The loader's view: date texts as dates, flags as booleans, cost month as its first day."""
-    typed = {}
-    for name, frame in silver.tables().items():
+
+    def typed(name: str) -> DataFrame:
+        frame = getattr(silver, name)
         casts = {c: iso_date(c) for c in DATE_COLUMNS.get(name, [])}
         # A missing flag reads as true, like any non-zero number.
         casts |= {c: F.coalesce(F.col(c) != 0, F.lit(True)) for c in FLAG_COLUMNS.get(name, [])}
         if name == "operating_costs":
             casts["period"] = iso_date(F.concat("period", F.lit("-01")))
-        typed[name] = frame.withColumns(casts) if casts else frame
-    return Silver(**typed)
+        return frame.withColumns(casts) if casts else frame
+
+    return Silver({name: lambda name=name: typed(name) for name in TABLES})

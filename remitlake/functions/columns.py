@@ -101,9 +101,15 @@ def to_rows(one_row: DataFrame, name: str, value: str, pairs: list[tuple[str, st
     return one_row.select(F.inline(entries))
 
 
-def rounded(df: DataFrame, digits: int = 4, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Round the double columns (all, or those named)."""
-    return df.select(*[
-        F.round(F.col(n), digits).alias(n) if t == "double" and (only is None or n in only) else F.col(n)
-        for n, t in df.dtypes
-    ])
+def steady_round(c: Column, digits: int) -> Column:
+    """Round half up, after dropping the noise that summing doubles leaves in the last places.
+
+    A sum that is exactly half a cent is then rounded the same way on every run.
+    """
+    return F.round(F.round(c, 6), digits)
+
+
+def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Round the double columns for display."""
+    doubles = {n: steady_round(F.col(n), digits) for n, t in df.dtypes if t == "double"}
+    return df.withColumns(doubles) if doubles else df

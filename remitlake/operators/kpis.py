@@ -36,6 +36,7 @@ from remitlake.operators.filters import FilterParams, filtered_claims
 from remitlake.operators.ledger import (
     allowed_totals,
     claim_balances,
+    is_open,
     payment_totals,
     shortfall,
     with_adjustments,
@@ -68,7 +69,7 @@ def monthly_ledger(silver: Silver, p: FilterParams) -> DataFrame:
     return claim_balances(silver, p).groupBy(period("date_of_service").alias("period")).agg(
         F.sum("total_charge_amount").alias("charges"),
         _known_sum("paid").alias("payments"),
-        total(F.when(F.col("balance") > 0, F.col("balance"))).alias("outstanding"),
+        total(F.when(is_open(), F.col("balance"))).alias("outstanding"),
     )
 
 
@@ -236,7 +237,7 @@ def ar_aging(silver: Silver, p: FilterParams) -> DataFrame:
     """Positive claim balances by age at the end of the date range, always five rows."""
     sent = F.coalesce("submission_date", "date_of_service")
     age = F.datediff(F.lit(p.end_date).try_cast("date"), iso_date(sent))
-    open_claims = claim_balances(silver, p).filter(F.col("balance") > 0).withColumn("bucket", aging_bucket(age))
+    open_claims = claim_balances(silver, p).filter(is_open()).withColumn("bucket", aging_bucket(age))
     wide = open_claims.agg(*[
         agg
         for i, label in enumerate(AGING_LABELS)
@@ -567,7 +568,7 @@ def core_kpis(silver: Silver, p: FilterParams) -> DataFrame:
     months = claims.groupBy(period("date_of_service").alias("period")).agg(
         F.sum("total_charge_amount").alias("charges"),
         _known_sum("paid").alias("payments"),
-        total(F.when(F.col("balance") > 0, F.col("balance"))).alias("outstanding"),
+        total(F.when(is_open(), F.col("balance"))).alias("outstanding"),
         _known_sum("contractual").alias("contractual"),
         F.sum("writeoff").alias("writeoff"),
         F.sum("n_payments").alias("n_payments"),

@@ -20,6 +20,15 @@ from remitlake.functions.columns import count_when, sum_when, total
 from remitlake.operators.filters import FilterParams, filtered_claims
 from remitlake.sources.silver import Silver
 
+# A claim paid in full by several payments keeps a difference of this order at most: the
+# rounding noise of adding doubles, which is not an open balance.
+NOISE = 1e-6
+
+
+def is_open():
+    """The claim has a balance left."""
+    return F.col("balance") > NOISE
+
 
 def shortfall():
     """What was allowed but not paid, never negative."""

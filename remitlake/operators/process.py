@@ -15,6 +15,7 @@ from remitlake.functions.columns import (
     period,
     ratio,
     side_by_side,
+    steady_round,
     total,
 )
 from remitlake.operators.gold import load_gold
@@ -170,7 +171,7 @@ def payment_profile(silver: Silver) -> DataFrame:
         F.min(amount).alias("min_amount"),
         F.max(amount).alias("max_amount"),
         F.round(F.avg(amount), 2).alias("avg_amount"),
-        F.round(F.sum(amount), 2).alias("total_amount"),
+        steady_round(F.sum(amount), 2).alias("total_amount"),
     )
 
 
@@ -199,8 +200,8 @@ def gcr_spot_check(silver: Silver, months: int = 6) -> DataFrame:
     first = sums.orderBy(F.col("period").asc_nulls_last()).limit(months)
     return first.select(
         "period",
-        F.round("c", 2).alias("charges"),
-        F.round("p", 2).alias("payments"),
+        steady_round(F.col("c"), 2).alias("charges"),
+        steady_round(F.col("p"), 2).alias("payments"),
         F.round(ratio(F.col("p") * 100, F.col("c")), 1).alias("gcr_pct"),
     )
 

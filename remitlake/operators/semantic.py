@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlake.functions.columns import count_when, days_between, denied_or_appealed, iso_date, ratio
-from remitlake.operators.ledger import with_payments
+from remitlake.operators.ledger import is_open, with_payments
 from remitlake.sources.schemas import TABLES
 from remitlake.sources.silver import Silver
 
@@ -266,7 +266,7 @@ def days_in_ar_by_payer(silver: Silver) -> DataFrame:
     claims = with_payments(silver.claims, silver.payments)
     day = iso_date("date_of_service")
     sums = claims.groupBy("payer_id").agg(
-        F.sum(F.when(F.col("balance") > 0, F.col("balance")).otherwise(0.0)).alias("open_ar"),
+        F.sum(F.when(is_open(), F.col("balance")).otherwise(0.0)).alias("open_ar"),
         F.sum("total_charge_amount").alias("charges"),
         F.greatest(F.datediff(F.max(day), F.min(day)) + 1, F.lit(1)).alias("days"),
     )

@@ -21,6 +21,7 @@ from remitlake.functions.columns import (
     ratio,
     rounded,
     side_by_side,
+    steady_round,
     to_rows,
     total,
 )
@@ -479,7 +480,7 @@ def detail_table(silver: Silver, p: FilterParams, which: str) -> DataFrame:
         columns = ["label", "count", "total_charges", "pct_of_dirty", "guidance"]
         return rounded(k.clean_claim_breakdown(silver, p).select(*columns), 2)
     if which == "department":
-        money = {c: F.concat(F.lit("$"), F.format_number(c, 2)) for c in
+        money = {c: F.concat(F.lit("$"), F.format_number(steady_round(F.col(c), 2), 2)) for c in
                  ("total_charges", "total_payments", "avg_payment_per_encounter")}
         return k.department_performance(silver, p).withColumns({
             **money, "collection_rate": F.format_string("%.1f%%", "collection_rate"),
@@ -500,7 +501,7 @@ def aging_detail(silver: Silver, p: FilterParams) -> DataFrame:
     """The aging table with its amounts as text."""
     return k.ar_aging(silver, p).select(
         "aging_bucket", "claim_count",
-        F.concat(F.lit("$"), F.format_number("total_ar", 2)).alias("total_ar"),
+        F.concat(F.lit("$"), F.format_number(steady_round(F.col("total_ar"), 2), 2)).alias("total_ar"),
         F.format_string("%.1f%%", "pct_of_total").alias("pct_of_total"),
     )
 

@@ -24,6 +24,11 @@ DENIED = "claim_status IN ('Denied', 'Appealed')"
 SHORT = "CASE WHEN p.allowed_amount > p.payment_amount THEN p.allowed_amount - p.payment_amount ELSE 0 END"
 
 
+def half_up(value: str, digits: int = 2) -> str:
+    """Rounding of a sum of doubles through an exact decimal, so that a tie is a tie."""
+    return f"CAST(ROUND(CAST({value} AS DECIMAL(28, 6)), {digits}) AS DOUBLE)"
+
+
 def scope(p: FilterParams) -> dict[str, str]:
     """The claims in scope, as one named relation."""
     where = [f"c.date_of_service >= '{p.start_date}'", f"c.date_of_service <= '{p.end_date}'"]
@@ -78,7 +83,7 @@ MONTHLY = {
             fc.total_charge_amount - COALESCE(SUM(p.payment_amount), 0) AS balance
             FROM fc LEFT JOIN payments p ON fc.claim_id = p.claim_id
             GROUP BY fc.claim_id, fc.date_of_service, fc.submission_date, fc.payer_id, fc.total_charge_amount
-            HAVING fc.total_charge_amount - COALESCE(SUM(p.payment_amount), 0) > 0""",
+            HAVING fc.total_charge_amount - COALESCE(SUM(p.payment_amount), 0) > 0.000001""",
     "dar": f"""SELECT period, charges, payments,
             GREATEST(SUM(charges - payments) OVER w, 0) AS ar_balance,
             {per('GREATEST(SUM(charges - payments) OVER w, 0)', 'SUM(charges) OVER w / 90')} AS days_in_ar

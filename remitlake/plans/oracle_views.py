@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from remitlake.plans.oracle_kpis import CORE, DENIED, month, pct, per, relations, statement
+from remitlake.plans.oracle_kpis import CORE, DENIED, half_up, month, pct, per, relations, statement
 from remitlake.plans.params import AS_OF, AS_OF_TIME, DEPARTMENT, PAYER, PAYER_NAME, PROVIDER, TWO_YEARS
 
 FANNED = "claims c LEFT JOIN payments p ON c.claim_id = p.claim_id"
@@ -130,8 +130,8 @@ DIAG_SQL = {
     ),
     "payment_profile": (
         "total_payments:i min_amount:d max_amount:d avg_amount:d total_amount:d",
-        """SELECT COUNT(*) AS total_payments, MIN(payment_amount) AS min_amount, MAX(payment_amount) AS max_amount,
-        ROUND(AVG(payment_amount), 2) AS avg_amount, ROUND(SUM(payment_amount), 2) AS total_amount FROM payments""",
+        f"""SELECT COUNT(*) AS total_payments, MIN(payment_amount) AS min_amount, MAX(payment_amount) AS max_amount,
+        ROUND(AVG(payment_amount), 2) AS avg_amount, {half_up('SUM(payment_amount)')} AS total_amount FROM payments""",
     ),
     "claims_with_payments": (
         "total_claims:i claims_with_payments:i claims_without_payments:i",
@@ -145,8 +145,8 @@ DIAG_SQL = {
     ),
     "gcr_spot_check": (
         "period charges:d payments:d gcr_pct:d",
-        f"""SELECT {month('c.date_of_service')} AS period, ROUND(SUM(c.total_charge_amount), 2) AS charges,
-        ROUND(COALESCE(SUM(p.payment_amount), 0), 2) AS payments,
+        f"""SELECT {month('c.date_of_service')} AS period, {half_up('SUM(c.total_charge_amount)')} AS charges,
+        {half_up('COALESCE(SUM(p.payment_amount), 0)')} AS payments,
         ROUND(COALESCE(SUM(p.payment_amount), 0) * 100 / NULLIF(SUM(c.total_charge_amount), 0), 1) AS gcr_pct
         FROM {FANNED} GROUP BY 1 ORDER BY 1 LIMIT 6""",
     ),
@@ -336,7 +336,7 @@ def _ranking(by: str, direction: str) -> tuple[str, str]:
 
 
 def _money_text(column: str) -> str:
-    return f"'$' || format('{{:,.2f}}', ROUND({column}, 2))"
+    return f"'$' || format('{{:,.2f}}', {half_up(column)})"
 
 
 VIEW_SQL = {
@@ -410,9 +410,9 @@ VIEW_SQL = {
     ),
     "payer_comparison": (
         "payer_name payer_type claim_count:i total_charges:d total_payments:d collection_rate:d denial_rate:d",
-        """SELECT m.payer_name, m.payer_type, m.claim_count, ROUND(m.total_charges, 2) AS total_charges,
-        ROUND(m.total_payments, 2) AS total_payments, ROUND(m.collection_rate, 2) AS collection_rate,
-        ROUND(d.denial_rate, 2) AS denial_rate FROM mix m LEFT JOIN payer_denials d ON m.payer_id = d.payer_id""",
+        f"""SELECT m.payer_name, m.payer_type, m.claim_count, {half_up('m.total_charges')} AS total_charges,
+        {half_up('m.total_payments')} AS total_payments, {half_up('m.collection_rate')} AS collection_rate,
+        {half_up('d.denial_rate')} AS denial_rate FROM mix m LEFT JOIN payer_denials d ON m.payer_id = d.payer_id""",
     ),
     "payer_type_summary": (
         "payer_type claims:i charges:d payments:d collection_rate:d",
@@ -456,9 +456,9 @@ VIEW_SQL = {
     "provider_scorecard": (
         "provider_name specialty department encounter_count:i claim_count:i total_charges:d total_payments:d "
         "collection_rate:d denial_rate:d clean_claim_rate:d",
-        """SELECT provider_name, specialty, department, encounter_count, claim_count, ROUND(total_charges, 2) AS total_charges,
-        ROUND(total_payments, 2) AS total_payments, ROUND(collection_rate, 2) AS collection_rate,
-        ROUND(denial_rate, 2) AS denial_rate, ROUND(clean_claim_rate, 2) AS clean_claim_rate FROM prov""",
+        f"""SELECT provider_name, specialty, department, encounter_count, claim_count, {half_up('total_charges')} AS total_charges,
+        {half_up('total_payments')} AS total_payments, {half_up('collection_rate')} AS collection_rate,
+        {half_up('denial_rate')} AS denial_rate, {half_up('clean_claim_rate')} AS clean_claim_rate FROM prov""",
     ),
     "provider_drilldown_totals": (
         "encounter_count:i claim_count:i collection_rate:d collection_delta:d denial_rate:d denial_delta:d",
@@ -525,12 +525,12 @@ VIEW_SQL = {
     },
     "detail_denial_reasons": (
         "denial_reason_code denial_reason_description count:i total_denied_amount:d total_recovered:d recovery_rate:d",
-        """SELECT denial_reason_code, denial_reason_description, "count", ROUND(total_denied_amount, 2) AS total_denied_amount,
-        ROUND(total_recovered, 2) AS total_recovered, ROUND(recovery_rate, 2) AS recovery_rate FROM reasons""",
+        f"""SELECT denial_reason_code, denial_reason_description, "count", {half_up('total_denied_amount')} AS total_denied_amount,
+        {half_up('total_recovered')} AS total_recovered, {half_up('recovery_rate')} AS recovery_rate FROM reasons""",
     ),
     "detail_scrubbing": (
         "label count:i total_charges:d pct_of_dirty:d guidance",
-        """SELECT label, "count", ROUND(total_charges, 2) AS total_charges, ROUND(pct_of_dirty, 2) AS pct_of_dirty, guidance
+        f"""SELECT label, "count", {half_up('total_charges')} AS total_charges, {half_up('pct_of_dirty')} AS pct_of_dirty, guidance
         FROM scrub""",
     ),
     "detail_department": (
@@ -542,21 +542,21 @@ VIEW_SQL = {
     "detail_cpt": (
         "cpt_code cpt_description charge_count:i total_units:i total_charges:d avg_charge_per_unit:d claim_count:i "
         "denied_claims:i denial_rate:d",
-        """SELECT cpt_code, cpt_description, charge_count, total_units, ROUND(total_charges, 2) AS total_charges,
-        ROUND(avg_charge_per_unit, 2) AS avg_charge_per_unit, claim_count, denied_claims,
-        ROUND(denial_rate, 2) AS denial_rate FROM cpt""",
+        f"""SELECT cpt_code, cpt_description, charge_count, total_units, {half_up('total_charges')} AS total_charges,
+        {half_up('avg_charge_per_unit')} AS avg_charge_per_unit, claim_count, denied_claims,
+        {half_up('denial_rate')} AS denial_rate FROM cpt""",
     ),
     "detail_underpayment": (
         "payer_name payer_type payment_count:i total_allowed:d total_paid:d total_underpaid:d underpaid_count:i "
         "underpayment_rate:d",
-        """SELECT payer_name, payer_type, payment_count, ROUND(total_allowed, 2) AS total_allowed,
-        ROUND(total_paid, 2) AS total_paid, ROUND(total_underpaid, 2) AS total_underpaid, underpaid_count,
-        ROUND(underpayment_rate, 2) AS underpayment_rate FROM under""",
+        f"""SELECT payer_name, payer_type, payment_count, {half_up('total_allowed')} AS total_allowed,
+        {half_up('total_paid')} AS total_paid, {half_up('total_underpaid')} AS total_underpaid, underpaid_count,
+        {half_up('underpayment_rate')} AS underpayment_rate FROM under""",
     ),
     "detail_patient_resp": (
         "payer_name payer_type payment_count:i total_patient_resp:d avg_patient_resp:d pct_of_allowed:d",
-        """SELECT payer_name, payer_type, payment_count, ROUND(total_patient_resp, 2) AS total_patient_resp,
-        ROUND(avg_patient_resp, 2) AS avg_patient_resp, ROUND(pct_of_allowed, 2) AS pct_of_allowed FROM resp_payer""",
+        f"""SELECT payer_name, payer_type, payment_count, {half_up('total_patient_resp')} AS total_patient_resp,
+        {half_up('avg_patient_resp')} AS avg_patient_resp, {half_up('pct_of_allowed')} AS pct_of_allowed FROM resp_payer""",
     ),
     "filter_date_bounds": (
         "min_date max_date",

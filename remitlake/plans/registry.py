@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlake.functions.columns import rounded
 from remitlake.operators import filters, gold, kpis, process, quality, semantic, series, views
 from remitlake.operators.filters import FilterParams
 from remitlake.plans.oracle_kpis import KPI_SQL, kpi_statement
@@ -40,14 +39,17 @@ WITH_DEPARTMENT = ("gross_collection_rate_trend", "payer_mix", "cpt_analysis", "
 # leaves alone; means of a few amounts have more decimals.
 DIGITS = 4
 MORE_DIGITS = {
-    "kpi_avg_reimbursement_trend": 6, "kpi_avg_reimbursement_trend_filtered": 6, "metric_facts_operating_costs": 6,
+    "kpi_avg_reimbursement_trend_filtered": 6, "metric_facts_operating_costs": 6,
     "etl_operating_costs": 6,
 }
 
 
 def _query(build: Callable[[Silver], DataFrame], digits: int = DIGITS) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return rounded(build(star_silver(spark, root)), digits)
+        df = build(star_silver(spark, root))
+        return df.selectExpr(*[
+            f"round(`{c}`, {digits}) as `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes
+        ])
 
     return run
 

@@ -11,14 +11,24 @@ AGING_LABELS = ("0-30", "31-60", "61-90", "91-120", "120+")
 AGING_LIMITS = (30, 60, 90, 120)
 
 
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def iso_date(c: Column | str) -> Column:
-    """ISO text to date; text that is no date becomes NULL."""
-    return F.try_to_date(c, "yyyy-MM-dd")
+    """``yyyy-MM-dd`` text to date; any other text becomes NULL.
+
+    The plain cast is many times faster than parsing with a pattern, but also takes
+    shorter and longer forms; the checks on the shape leave those out.
+    """
+    c = _col(c)
+    shape = (F.length(c) == 10) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-")
+    return F.when(shape & F.substring(c, 10, 1).between("0", "9"), c.try_cast("date"))
 
 
 def period(c: Column | str) -> Column:
     """ISO date text to its ``yyyy-MM`` month, NULL if unparseable."""
-    return F.date_format(iso_date(c), "yyyy-MM")
+    return F.when(iso_date(c).isNotNull(), F.substring(_col(c), 1, 7))
 
 
 def days_between(start: Column | str, end: Column | str) -> Column:

@@ -333,14 +333,16 @@ def denial_rate_by_payer(silver: Silver, p: FilterParams) -> DataFrame:
 def department_performance(silver: Silver, p: FilterParams) -> DataFrame:
     """Encounters with claims, charges (once per payment) and payments by encounter department.
 
-    The encounter join comes last: its partitioning by encounter_id already separates the
-    distinct encounters, so counting them needs no further shuffle of the claims.
+    Claims are summed per encounter before the encounters are joined. The sums combine
+    map-side, so an encounter with very many claims is no hot key of that join.
     """
-    claims = claim_balances(silver, p).select("encounter_id", "total_charge_amount", "weight", "paid")
-    joined = claims.join(silver.encounters.select("encounter_id", "department"), "encounter_id")
+    per_encounter = claim_balances(silver, p).groupBy("encounter_id").agg(
+        F.sum(F.col("total_charge_amount") * F.col("weight")).alias("charges"), F.sum("paid").alias("paid")
+    )
+    joined = silver.encounters.select("encounter_id", "department").join(per_encounter, "encounter_id")
     sums = joined.groupBy("department").agg(
         F.countDistinct("encounter_id").alias("encounter_count"),
-        total(F.col("total_charge_amount") * F.col("weight")).alias("total_charges"),
+        total("charges").alias("total_charges"),
         F.sum("paid").alias("total_payments"),
     )
     return sums.withColumns({
@@ -352,26 +354,21 @@ def department_performance(silver: Silver, p: FilterParams) -> DataFrame:
 def provider_performance(silver: Silver, p: FilterParams) -> DataFrame:
     """Volumes, amounts and rates per provider; charges are not multiplied by payments here.
 
-    Two distinct counts in one aggregation would copy every row. Counting the claims of an
-    encounter first (rows are partitioned by it after the join) leaves plain sums. A claim
-    belongs to one encounter, so the per-encounter counts add up.
+    Two distinct counts in one aggregation would copy every row. The distinct claims are
+    counted per encounter instead (the rows are partitioned by claim already, so that takes
+    no extra shuffle) and add up, since a claim belongs to one encounter.
     """
-    claims = claim_balances(silver, p).select(
-        "claim_id", "encounter_id", "total_charge_amount", "paid", "is_clean_claim", "claim_status"
-    )
-    per_encounter = (
-        claims.join(silver.encounters.select("encounter_id", "provider_id"), "encounter_id")
-        .groupBy("provider_id", "encounter_id")
-        .agg(
-            F.countDistinct("claim_id").alias("claims"),
-            F.sum("total_charge_amount").alias("charges"),
-            F.sum("paid").alias("paid"),
-            F.sum("is_clean_claim").alias("clean"),
-            count_when(denied_or_appealed()).alias("denied"),
-        )
+    per_encounter = claim_balances(silver, p).groupBy("encounter_id").agg(
+        F.countDistinct("claim_id").alias("claims"),
+        F.sum("total_charge_amount").alias("charges"),
+        F.sum("paid").alias("paid"),
+        F.sum("is_clean_claim").alias("clean"),
+        count_when(denied_or_appealed()).alias("denied"),
     )
-    sums = per_encounter.groupBy("provider_id").agg(
-        F.count("encounter_id").alias("encounter_count"),
+    sums = silver.encounters.select("encounter_id", "provider_id").join(per_encounter, "encounter_id").groupBy(
+        "provider_id"
+    ).agg(
+        F.countDistinct("encounter_id").alias("encounter_count"),
         F.sum("claims").alias("claim_count"),
         F.sum("charges").alias("total_charges"),
         F.sum("paid").alias("total_payments"),

@@ -28,6 +28,7 @@ from remitlake.functions.columns import (
 from remitlake.functions.fixed_values import ALERT_LIMITS, EXTRA_CUTS, SCORECARD_CUTS
 from remitlake.operators import kpis as k
 from remitlake.operators.filters import FilterParams, cascade
+from remitlake.operators.ledger import with_payments
 from remitlake.sources.silver import Silver
 
 HIGH_DENIAL = 15
@@ -132,13 +133,18 @@ def monthly_volume(silver: Silver, p: FilterParams) -> DataFrame:
 
 
 def _money(silver: Silver, p: FilterParams) -> DataFrame:
-    """Charges, payments, adjustments and lost denials in scope, one row."""
-    scope = cascade(silver, p)
-    return side_by_side(
-        scope.claims.agg(total("total_charge_amount").alias("charges")),
-        scope.payments.agg(total("payment_amount").alias("payments")),
-        scope.adjustments.agg(total("adjustment_amount").alias("adjustments")),
-        scope.denials.agg((total("denied_amount") - total("recovered_amount")).alias("lost")),
+    """Charges, payments, adjustments and lost denials in scope, one row.
+
+    Every table is summed per claim and joined to the claims once; all joins share their key.
+    """
+    adjusted = silver.adjustments.groupBy("claim_id").agg(F.sum("adjustment_amount").alias("adjusted"))
+    lost = silver.denials.groupBy("claim_id").agg((total("denied_amount") - total("recovered_amount")).alias("lost"))
+    claims = with_payments(cascade(silver, p).claims, silver.payments)
+    return claims.join(adjusted, "claim_id", "left").join(lost, "claim_id", "left").agg(
+        total("total_charge_amount").alias("charges"),
+        total("paid").alias("payments"),
+        total("adjusted").alias("adjustments"),
+        total("lost").alias("lost"),
     )
 
 
@@ -216,10 +222,8 @@ def ar_under_60_share(silver: Silver, p: FilterParams) -> DataFrame:
 
 def cash_flow(silver: Silver, p: FilterParams) -> DataFrame:
     """Charges and payments by the claim's service month, and their difference."""
-    scope = cascade(silver, p)
-    paid = silver.payments.groupBy("claim_id").agg(F.sum("payment_amount").alias("paid"))
     months = _monthly(
-        scope.claims.join(paid, "claim_id", "left"),
+        with_payments(cascade(silver, p).claims, silver.payments),
         total("total_charge_amount").alias("charges"),
         total("paid").alias("payments"),
     )
@@ -256,48 +260,38 @@ def payer_type_summary(silver: Silver, p: FilterParams) -> DataFrame:
     return sums.withColumn("collection_rate", rate)
 
 
-def _totals(claims: DataFrame, payments: DataFrame, first: DataFrame | None = None) -> DataFrame:
-    parts = [
-        claims.agg(
-            _rows().alias("claims"),
-            total("total_charge_amount").alias("total_charges"),
-            count_when(denied_or_appealed()).alias("denied_claims"),
-        ),
-        payments.agg(total("payment_amount").alias("total_payments")),
-    ]
-    return side_by_side(*([first] if first is not None else []), *parts)
-
-
-def _following(silver: Silver, claims: DataFrame) -> Silver:
-    """The payments and denials of some claims in scope."""
-    ids = claims.select("claim_id")
-    return silver.with_tables(
-        claims=claims,
-        payments=silver.payments.join(ids, "claim_id", "left_semi"),
-        denials=silver.denials.join(ids, "claim_id", "left_semi"),
+def _totals(claims: DataFrame, payments: DataFrame) -> DataFrame:
+    return with_payments(claims, payments).agg(
+        _rows().alias("claims"),
+        total("total_charge_amount").alias("total_charges"),
+        total("paid").alias("total_payments"),
+        count_when(denied_or_appealed()).alias("denied_claims"),
     )
 
 
-def _paid_per_claim(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("claim_id").agg(F.sum("payment_amount").alias("payment_amount"))
+def _denials_of(silver: Silver, claims: DataFrame) -> DataFrame:
+    return silver.denials.join(claims.select("claim_id"), "claim_id", "left_semi")
 
 
-def payer_scope(silver: Silver, p: FilterParams, payer_id: str) -> Silver:
-    return _following(silver, cascade(silver, p).claims.filter(F.col("payer_id") == payer_id))
+def _with_paid(rows: DataFrame, payments: DataFrame) -> DataFrame:
+    """Claim rows with their payment total, 0 if there is none."""
+    paid = payments.groupBy("claim_id").agg(F.sum("payment_amount").alias("payment_amount"))
+    return rows.join(paid, "claim_id", "left").withColumn("payment_amount", F.coalesce("payment_amount", F.lit(0.0)))
 
 
 def payer_drilldown(silver: Silver, p: FilterParams, payer_id: str) -> dict[str, DataFrame]:
     """Totals, status mix, denial reasons and claim detail of one payer."""
-    one = payer_scope(silver, p, payer_id)
-    detail = one.claims.select(
+    claims = cascade(silver, p).claims.filter(F.col("payer_id") == payer_id)
+    denials = _denials_of(silver, claims)
+    detail = claims.select(
         "claim_id", "date_of_service", "submission_date", "total_charge_amount", "claim_status", "is_clean_claim"
-    ).join(_paid_per_claim(one.payments), "claim_id", "left")
+    )
     return {
-        "totals": _totals(one.claims, one.payments),
-        "status": value_counts(one.claims, "claim_status"),
-        "reasons": value_counts(one.denials, "denial_reason_description"),
-        "detail": detail.withColumn("payment_amount", F.coalesce("payment_amount", F.lit(0.0))),
-        "denials": one.denials,
+        "totals": _totals(claims, silver.payments),
+        "status": value_counts(claims, "claim_status"),
+        "reasons": value_counts(denials, "denial_reason_description"),
+        "detail": _with_paid(detail, silver.payments),
+        "denials": denials,
     }
 
 
@@ -313,21 +307,21 @@ def department_drilldown(silver: Silver, p: FilterParams, department: str) -> di
     scope = cascade(silver, p)
     encounters = scope.encounters.filter(F.col("department") == department)
     claims = scope.claims.join(encounters.select("encounter_id"), "encounter_id", "left_semi")
-    one = _following(silver, claims)
-    detail = (
-        encounters.select("encounter_id", "date_of_service", "encounter_type", "patient_id", "provider_id")
-        .join(claims.select("encounter_id", "claim_id", "total_charge_amount", "claim_status"), "encounter_id", "left")
-        .join(_paid_per_claim(one.payments), "claim_id", "left")
+    denials = _denials_of(silver, claims)
+    detail = encounters.select("encounter_id", "date_of_service", "encounter_type", "patient_id", "provider_id").join(
+        scope.claims.select("encounter_id", "claim_id", "total_charge_amount", "claim_status"), "encounter_id", "left"
     )
     return {
-        "totals": _totals(claims, one.payments, encounters.agg(_rows().alias("encounters"))).drop("denied_claims"),
+        "totals": side_by_side(
+            encounters.agg(_rows().alias("encounters")), _totals(claims, silver.payments).drop("denied_claims")
+        ),
         "types": value_counts(encounters, "encounter_type"),
         "status": value_counts(claims, "claim_status"),
-        "detail": detail.select(
+        "detail": _with_paid(detail, silver.payments).select(
             "encounter_id", "date_of_service", "encounter_type", "patient_id", "provider_id", "claim_id",
-            "total_charge_amount", "claim_status", F.coalesce("payment_amount", F.lit(0.0)).alias("payment_amount"),
+            "total_charge_amount", "claim_status", "payment_amount",
         ),
-        "denials": one.denials,
+        "denials": denials,
     }
 
 
@@ -370,17 +364,16 @@ def provider_drilldown(silver: Silver, p: FilterParams, provider_id: str) -> dic
             for c in ("encounter_count", "claim_count", "collection_rate", "denial_rate")
         ],
     )
-    scope = cascade(silver, p)
     own = silver.encounters.filter(F.col("provider_id") == provider_id).select("encounter_id")
-    one = _following(silver, scope.claims.join(own, "encounter_id", "left_semi"))
+    claims = cascade(silver, p).claims.join(own, "encounter_id", "left_semi")
     return {
         "totals": means.select(
             "encounter_count", "claim_count", "collection_rate",
             F.round(F.col("collection_rate") - F.col("mean_collection"), 1).alias("collection_delta"),
             "denial_rate", F.round(F.col("denial_rate") - F.col("mean_denial"), 1).alias("denial_delta"),
         ),
-        "status": value_counts(one.claims, "claim_status"),
-        "reasons": value_counts(one.denials, "denial_reason_description"),
+        "status": value_counts(claims, "claim_status"),
+        "reasons": value_counts(_denials_of(silver, claims), "denial_reason_description"),
     }
 
 
@@ -437,9 +430,8 @@ def underpayment_summary(silver: Silver, p: FilterParams) -> DataFrame:
 
 def underpayment_order(silver: Silver, p: FilterParams, by: str) -> DataFrame:
     """Payers by ``total_underpaid``, ``underpayment_rate`` or ``total_allowed``, largest first."""
-    payers = k.underpayment_analysis(silver, p)
-    position = F.row_number().over(Window.orderBy(F.col(by).desc(), "payer_id"))
-    return payers.select(position.alias("position"), "payer_id", "payer_name", by).orderBy("position")
+    payers = k.underpayment_analysis(silver, p).select("payer_id", "payer_name", by)
+    return payers.orderBy(F.col(by).desc(), "payer_id")
 
 
 def patient_resp_summary(silver: Silver, p: FilterParams) -> DataFrame:

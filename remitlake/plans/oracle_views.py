@@ -500,9 +500,8 @@ VIEW_SQL = {
     ),
     **{
         f"underpayment_by_{by}": (
-            f"position payer_id payer_name {by}:d",
-            f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {by} DESC, payer_id) AS INT) AS position, payer_id, payer_name, {by} "
-            "FROM under",
+            f"payer_id payer_name {by}:d",
+            f"SELECT payer_id, payer_name, {by} FROM under ORDER BY {by} DESC, payer_id",
         )
         for by in ("total_underpaid", "underpayment_rate", "total_allowed")
     },

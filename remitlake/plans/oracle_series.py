@@ -328,6 +328,8 @@ ETL_SQL = {
     ),
 }
 
+ETL_SQL |= {f"files_{t}": ETL_SQL[t] for t in ("claims", "denials")}
+
 
 def series_statements(more_digits: dict[str, int]) -> dict[str, str]:
     rel = {**relations(EVERYTHING), **SERIES_REL}

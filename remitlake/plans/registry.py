@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,7 @@ from remitlake.plans.params import (
     TWO_YEARS,
     VARIANTS,
 )
-from remitlake.sources import ingest
+from remitlake.sources import export, ingest
 from remitlake.sources.schemas import TABLES
 from remitlake.sources.silver import Silver
 from remitlake.sources.star import star_raw, star_silver
@@ -251,11 +253,31 @@ def _metric_queries() -> dict[str, Query]:
     return out
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under the cluster's checkpoint folder if it names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def _through_files(table: str) -> Query:
+    """The table written as raw CSV files, loaded into the raw layer and typed from there."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        folder = _scratch(spark)
+        export.write_csv(star_raw(star_silver(spark, root), table), f"{folder}/stage/{table}.csv")
+        ingest.load_raw(spark, f"{folder}/stage", f"{folder}/bronze", [table])
+        typed = ingest.to_typed(spark.read.parquet(f"{folder}/bronze/{table}"), table)
+        return typed.selectExpr(*[f"round({c}, {DIGITS}) as {c}" if t == "double" else c for c, t in typed.dtypes])
+
+    return run
+
+
 def _etl_queries() -> dict[str, Query]:
     out = {
         f"etl_{t}": _query(lambda s, t=t: ingest.to_typed(star_raw(s, t), t), MORE_DIGITS.get(f"etl_{t}", DIGITS))
         for t in TABLES
     }
+    out |= {f"etl_files_{t}": _through_files(t) for t in ("claims", "denials")}
     out["etl_load_log"] = _query(
         lambda s: _as_text(ingest.load_log_rows(s, F.lit(AS_OF_TIME).cast("timestamp_ntz")), "last_loaded_at")
     )

@@ -86,12 +86,17 @@ def layer_rank(c: str) -> Column:
     return chain
 
 
+def _tables(spark: SparkSession, database: str) -> list:
+    """Tables and views of a database; the session's temporary views belong to none."""
+    return [t for t in spark.catalog.listTables(database) if not t.isTemporary]
+
+
 def table_catalog(spark: SparkSession, databases: dict[str, str]) -> DataFrame:
     """Tables of the catalog databases that hold the layers (layer -> database)."""
     rows = [
         (layer.upper(), t.name, t.tableType, t.description or "")
         for layer, database in databases.items()
-        for t in spark.catalog.listTables(database)
+        for t in _tables(spark, database)
     ]
     schema = "table_schema string, table_name string, table_type string, comment string"
     frame = spark.createDataFrame(rows, schema)
@@ -104,7 +109,7 @@ def database_columns(spark: SparkSession, database: str) -> DataFrame:
     """Columns of every table of one catalog database, by table and position."""
     rows = [
         (t.name, i, c.name, c.dataType, c.description or "")
-        for t in spark.catalog.listTables(database)
+        for t in _tables(spark, database)
         for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}"), 1)
     ]
     schema = "table_name string, position int, column_name string, data_type string, description string"

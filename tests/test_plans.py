@@ -94,3 +94,33 @@ def test_encounter_sums_come_before_the_encounter_join(stored):
 def test_typed_layer_is_laid_out_by_date(spark, stored, folder):
     ingest.write_typed(stored, folder)
     assert Silver.from_parquet(spark, folder).claims.count() == 1
+
+
+def test_hot_encounter_is_split_in_the_semi_join(spark, stored):
+    """Charges of one encounter fill a third of the rows; its partition is read by several tasks."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    charges = spark.range(0, 200_000, 1, 8).selectExpr(
+        "cast(id as string) charge_id", "if(id % 3 = 0, 'e1', concat('e', id % 5000)) encounter_id",
+        "cast(uuid() as string) cpt_code", "1.0D charge_amount", "'2024-01-10' service_date", "'2024-01-12' post_date",
+    )
+    claims = spark.range(0, 5000, 1, 4).selectExpr(
+        "cast(id as string) claim_id", "concat('e', id) encounter_id", "'p' patient_id", "'A' payer_id",
+        "'2024-01-10' date_of_service", "'2024-01-20' submission_date", "1.0D total_charge_amount",
+        "'Paid' claim_status", "1 is_clean_claim",
+    )
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = kpis.charge_lag_dist(stored.with_tables(charges=charges, claims=claims), YEAR)
+        assert [tuple(r) for r in df.collect()] == [(2, 200_000)]
+        assert "skew=true" in plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

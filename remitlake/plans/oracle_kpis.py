@@ -21,7 +21,6 @@ def per(part: str, whole: str) -> str:
 
 
 DENIED = "claim_status IN ('Denied', 'Appealed')"
-SHORT = "CASE WHEN p.allowed_amount > p.payment_amount THEN p.allowed_amount - p.payment_amount ELSE 0 END"
 
 
 def half_up(value: str, digits: int = 2) -> str:
@@ -70,20 +69,23 @@ def statement(columns: str, body: str, relations: dict[str, str], digits: int =
 
 
 MONTHLY = {
+    # Claims with one row per payment (one without payment columns if there is none).
+    "paid_rows": """SELECT fc.*, p.payment_id, p.payment_amount, p.allowed_amount, p.payment_date,
+            p.is_accurate_payment FROM fc LEFT JOIN payments p ON p.claim_id = fc.claim_id""",
+    "short_rows": """SELECT *, GREATEST(allowed_amount - payment_amount, 0) AS short FROM paid_rows
+            WHERE allowed_amount > 0""",
     "mc": f"SELECT {month('date_of_service')} AS period, SUM(total_charge_amount) AS charges FROM fc GROUP BY 1",
-    "mp": f"""SELECT {month('fc.date_of_service')} AS period, COALESCE(SUM(p.payment_amount), 0) AS payments
-              FROM fc LEFT JOIN payments p ON fc.claim_id = p.claim_id GROUP BY 1""",
+    "mp": f"""SELECT {month('date_of_service')} AS period, COALESCE(SUM(payment_amount), 0) AS payments
+              FROM paid_rows GROUP BY 1""",
     "ma": f"""SELECT {month('fc.date_of_service')} AS period,
               COALESCE(SUM(CASE WHEN a.adjustment_type_code = 'CONTRACTUAL' THEN a.adjustment_amount ELSE 0 END), 0)
               AS contractual_adj
               FROM fc LEFT JOIN adjustments a ON fc.claim_id = a.claim_id GROUP BY 1""",
     "m": """SELECT mc.period, mc.charges, COALESCE(mp.payments, 0) AS payments
             FROM mc LEFT JOIN mp ON mc.period = mp.period""",
-    "open_claims": """SELECT fc.claim_id, fc.date_of_service, fc.submission_date, fc.payer_id,
-            fc.total_charge_amount - COALESCE(SUM(p.payment_amount), 0) AS balance
-            FROM fc LEFT JOIN payments p ON fc.claim_id = p.claim_id
-            GROUP BY fc.claim_id, fc.date_of_service, fc.submission_date, fc.payer_id, fc.total_charge_amount
-            HAVING fc.total_charge_amount - COALESCE(SUM(p.payment_amount), 0) > 0.000001""",
+    "open_claims": """SELECT * FROM (SELECT claim_id, date_of_service, submission_date, payer_id,
+            ANY_VALUE(total_charge_amount) - COALESCE(SUM(payment_amount), 0) AS balance
+            FROM paid_rows GROUP BY 1, 2, 3, 4) WHERE balance > 0.000001""",
     "dar": f"""SELECT period, charges, payments,
             GREATEST(SUM(charges - payments) OVER w, 0) AS ar_balance,
             {per('GREATEST(SUM(charges - payments) OVER w, 0)', 'SUM(charges) OVER w / 90')} AS days_in_ar
@@ -110,15 +112,15 @@ MONTHLY = {
             datediff('day', TRY_CAST(service_date AS DATE), TRY_CAST(post_date AS DATE)) AS lag_days
             FROM charges WHERE encounter_id IN (SELECT encounter_id FROM fc)
             AND post_date IS NOT NULL AND service_date IS NOT NULL""",
-    "collections": f"""SELECT {month('fc.date_of_service')} AS period, COALESCE(SUM(p.payment_amount), 0) AS collections
-            FROM fc LEFT JOIN payments p ON fc.claim_id = p.claim_id GROUP BY 1""",
+    "collections": f"""SELECT {month('date_of_service')} AS period, COALESCE(SUM(payment_amount), 0) AS collections
+            FROM paid_rows GROUP BY 1""",
     "ctc": f"""SELECT c.period, collections, COALESCE(o.total_rcm_cost, 0) AS rcm_cost,
             {pct('COALESCE(o.total_rcm_cost, 0)', 'collections')} AS cost_to_collect_pct
             FROM collections c LEFT JOIN operating_costs o ON c.period = o.period""",
     "ctc_value": f"""SELECT ROUND({pct('(SELECT SUM(total_rcm_cost) FROM operating_costs)', 'SUM(collections)')}, 2)
             AS cost_to_collect FROM collections""",
-    "accuracy": f"""SELECT ROUND({pct('COALESCE(SUM(p.is_accurate_payment), 0)', 'COUNT(*)')}, 2) AS payment_accuracy
-            FROM fc JOIN payments p ON fc.claim_id = p.claim_id""",
+    "accuracy": f"""SELECT ROUND({pct('COALESCE(SUM(is_accurate_payment), 0)', 'COUNT(*)')}, 2) AS payment_accuracy
+            FROM paid_rows WHERE payment_id IS NOT NULL""",
     "debt": """SELECT (SELECT COALESCE(SUM(total_charge_amount), 0) FROM fc) AS total_charges,
             COALESCE((SELECT SUM(adjustment_amount) FROM adjustments WHERE adjustment_type_code = 'WRITEOFF'
             AND claim_id IN (SELECT claim_id FROM fc)), 0) AS bad_debt""",
@@ -128,38 +130,32 @@ MONTHLY = {
             COALESCE(SUM(won), 0) AS won FROM (
             SELECT CASE WHEN d.appeal_status = 'Won' THEN 1 ELSE 0 END AS won FROM fc JOIN denials d
             ON fc.claim_id = d.claim_id WHERE d.appeal_status IN ('Won', 'Lost', 'In Progress'))""",
-    "per_claim": f"""SELECT fc.claim_id, {month('fc.date_of_service')} AS period,
-            COALESCE(SUM(p.payment_amount), 0) AS payment_amount
-            FROM fc LEFT JOIN payments p ON fc.claim_id = p.claim_id GROUP BY fc.claim_id, fc.date_of_service""",
-    "mix": f"""SELECT fc.payer_id, py.payer_name, py.payer_type, COUNT(DISTINCT fc.claim_id) AS claim_count,
-            SUM(fc.total_charge_amount) AS total_charges, COALESCE(SUM(p.payment_amount), 0) AS total_payments,
-            {pct('COALESCE(SUM(p.payment_amount), 0)', 'SUM(fc.total_charge_amount)')} AS collection_rate
-            FROM fc JOIN payers py ON fc.payer_id = py.payer_id LEFT JOIN payments p ON fc.claim_id = p.claim_id
-            GROUP BY 1, 2, 3""",
-    "payer_denials": f"""SELECT fc.payer_id, py.payer_name, COUNT(*) AS total_claims,
-            SUM(CASE WHEN {DENIED} THEN 1 ELSE 0 END) AS denied,
-            {pct(f'SUM(CASE WHEN {DENIED} THEN 1 ELSE 0 END)', 'COUNT(*)')} AS denial_rate
-            FROM fc JOIN payers py ON fc.payer_id = py.payer_id GROUP BY 1, 2""",
-    "dept": f"""SELECT e.department, COUNT(DISTINCT e.encounter_id) AS encounter_count,
-            COALESCE(SUM(fc.total_charge_amount), 0) AS total_charges, COALESCE(SUM(p.payment_amount), 0) AS total_payments,
-            {pct('COALESCE(SUM(p.payment_amount), 0)', 'SUM(fc.total_charge_amount)')} AS collection_rate,
-            {per('COALESCE(SUM(p.payment_amount), 0)', 'COUNT(DISTINCT e.encounter_id)')} AS avg_payment_per_encounter
-            FROM fc JOIN encounters e ON fc.encounter_id = e.encounter_id
-            LEFT JOIN payments p ON fc.claim_id = p.claim_id GROUP BY 1""",
-    "prov_claims": f"""SELECT pr.provider_id, pr.provider_name, pr.specialty, pr.department,
-            COUNT(DISTINCT fc.encounter_id) AS encounter_count, COUNT(DISTINCT fc.claim_id) AS claim_count,
-            SUM(fc.total_charge_amount) AS total_charges, SUM(fc.is_clean_claim) AS clean_claims,
-            SUM(CASE WHEN {DENIED} THEN 1 ELSE 0 END) AS denied_claims
-            FROM fc JOIN encounters e ON fc.encounter_id = e.encounter_id
-            JOIN providers pr ON e.provider_id = pr.provider_id GROUP BY 1, 2, 3, 4""",
-    "prov_pay": """SELECT e.provider_id, COALESCE(SUM(p.payment_amount), 0) AS total_payments
-            FROM fc JOIN encounters e ON fc.encounter_id = e.encounter_id
-            LEFT JOIN payments p ON fc.claim_id = p.claim_id GROUP BY 1""",
-    "prov": f"""SELECT c.*, COALESCE(t.total_payments, 0) AS total_payments,
-            {pct('COALESCE(t.total_payments, 0)', 'c.total_charges')} AS collection_rate,
+    "per_claim": f"""SELECT claim_id, {month('date_of_service')} AS period,
+            COALESCE(SUM(payment_amount), 0) AS payment_amount FROM paid_rows GROUP BY claim_id, date_of_service""",
+    "mix": f"""SELECT *, {pct('total_payments', 'total_charges')} AS collection_rate FROM (
+            SELECT payer_id, payer_name, payer_type, COUNT(DISTINCT claim_id) AS claim_count,
+            SUM(total_charge_amount) AS total_charges, COALESCE(SUM(payment_amount), 0) AS total_payments
+            FROM paid_rows JOIN payers USING (payer_id) GROUP BY 1, 2, 3)""",
+    "payer_denials": f"""SELECT *, {pct('denied', 'total_claims')} AS denial_rate FROM (
+            SELECT payer_id, payer_name, COUNT(*) AS total_claims, COUNT(*) FILTER ({DENIED}) AS denied
+            FROM fc JOIN payers USING (payer_id) GROUP BY 1, 2)""",
+    "visits": "SELECT encounter_id, department, encounter_type, provider_id FROM encounters",
+    "dept": f"""SELECT *, {pct('total_payments', 'total_charges')} AS collection_rate,
+            {per('total_payments', 'encounter_count')} AS avg_payment_per_encounter FROM (
+            SELECT department, COUNT(DISTINCT encounter_id) AS encounter_count,
+            COALESCE(SUM(total_charge_amount), 0) AS total_charges, COALESCE(SUM(payment_amount), 0) AS total_payments
+            FROM paid_rows JOIN visits USING (encounter_id) GROUP BY 1)""",
+    "prov_claims": f"""SELECT provider_id, COUNT(DISTINCT encounter_id) AS encounter_count,
+            COUNT(DISTINCT claim_id) AS claim_count, SUM(total_charge_amount) AS total_charges,
+            SUM(is_clean_claim) AS clean_claims, COUNT(*) FILTER ({DENIED}) AS denied_claims
+            FROM fc JOIN visits USING (encounter_id) GROUP BY 1""",
+    "prov_pay": """SELECT provider_id, COALESCE(SUM(payment_amount), 0) AS total_payments
+            FROM paid_rows JOIN visits USING (encounter_id) GROUP BY 1""",
+    "prov": f"""SELECT *, {pct('total_payments', 'total_charges')} AS collection_rate,
             {pct('denied_claims', 'claim_count')} AS denial_rate, {pct('clean_claims', 'claim_count')} AS clean_claim_rate,
-            {per('COALESCE(t.total_payments, 0)', 'encounter_count')} AS avg_payment_per_encounter
-            FROM prov_claims c LEFT JOIN prov_pay t ON c.provider_id = t.provider_id""",
+            {per('total_payments', 'encounter_count')} AS avg_payment_per_encounter
+            FROM prov_claims JOIN prov_pay USING (provider_id)
+            JOIN (SELECT provider_id, provider_name, specialty, department FROM providers) USING (provider_id)""",
     "cpt_lines": """SELECT cpt_code, cpt_description, COUNT(charge_id) AS charge_count, SUM(units) AS total_units,
             SUM(charge_amount) AS total_charges FROM charges WHERE encounter_id IN (SELECT encounter_id FROM fc)
             GROUP BY 1, 2""",
@@ -171,16 +167,13 @@ MONTHLY = {
             {per('l.total_charges', 'l.total_units')} AS avg_charge_per_unit,
             {pct('COALESCE(c.denied_claims, 0)', 'COALESCE(c.claim_count, 0)')} AS denial_rate
             FROM cpt_lines l LEFT JOIN cpt_claims c ON l.cpt_code = c.cpt_code""",
-    "under": f"""SELECT fc.payer_id, py.payer_name, py.payer_type, COUNT(p.payment_id) AS payment_count,
-            SUM(p.allowed_amount) AS total_allowed, SUM(p.payment_amount) AS total_paid, SUM({SHORT}) AS total_underpaid,
-            COUNT(CASE WHEN p.allowed_amount > p.payment_amount THEN 1 END) AS underpaid_count,
-            {pct(f'SUM({SHORT})', 'SUM(p.allowed_amount)')} AS underpayment_rate
-            FROM fc JOIN payers py ON fc.payer_id = py.payer_id JOIN payments p ON fc.claim_id = p.claim_id
-            WHERE p.allowed_amount IS NOT NULL AND p.allowed_amount > 0 GROUP BY 1, 2, 3""",
-    "under_trend": f"""SELECT {month('p.payment_date')} AS period, SUM(p.allowed_amount) AS total_allowed,
-            SUM(p.payment_amount) AS total_paid, SUM({SHORT}) AS total_underpaid,
-            {pct(f'SUM({SHORT})', 'SUM(p.allowed_amount)')} AS underpayment_rate
-            FROM fc JOIN payments p ON fc.claim_id = p.claim_id WHERE p.allowed_amount > 0 GROUP BY 1""",
+    "under": f"""SELECT *, {pct('total_underpaid', 'total_allowed')} AS underpayment_rate FROM (
+            SELECT payer_id, payer_name, payer_type, COUNT(payment_id) AS payment_count, SUM(allowed_amount) AS total_allowed,
+            SUM(payment_amount) AS total_paid, SUM(short) AS total_underpaid, COUNT(*) FILTER (short > 0) AS underpaid_count
+            FROM short_rows JOIN payers USING (payer_id) GROUP BY 1, 2, 3)""",
+    "under_trend": f"""SELECT *, {pct('total_underpaid', 'total_allowed')} AS underpayment_rate FROM (
+            SELECT {month('payment_date')} AS period, SUM(allowed_amount) AS total_allowed,
+            SUM(payment_amount) AS total_paid, SUM(short) AS total_underpaid FROM short_rows GROUP BY 1)""",
     "scrub": f"""SELECT fail_reason, COUNT(*) AS "count", SUM(total_charge_amount) AS total_charges,
             {pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct_of_dirty,
             CASE fail_reason
@@ -199,19 +192,16 @@ MONTHLY = {
               WHEN 'MISSING_INFO' THEN 'Implement front-desk registration checklists with required-field validation.'
               ELSE '' END AS guidance
             FROM fc WHERE is_clean_claim = 0 AND fail_reason IS NOT NULL GROUP BY fail_reason""",
-    "resp_payer": f"""SELECT py.payer_name, py.payer_type, COUNT(p.payment_id) AS payment_count,
-            SUM({SHORT}) AS total_patient_resp, AVG({SHORT}) AS avg_patient_resp, SUM(p.allowed_amount) AS total_allowed,
-            {pct(f'SUM({SHORT})', 'SUM(p.allowed_amount)')} AS pct_of_allowed
-            FROM fc JOIN payers py ON fc.payer_id = py.payer_id JOIN payments p ON fc.claim_id = p.claim_id
-            WHERE p.allowed_amount > 0 GROUP BY 1, 2""",
-    "resp_dept": f"""SELECT e.department, e.encounter_type, COUNT(DISTINCT fc.claim_id) AS claim_count,
-            SUM({SHORT}) AS total_patient_resp, AVG({SHORT}) AS avg_patient_resp
-            FROM fc JOIN encounters e ON fc.encounter_id = e.encounter_id JOIN payments p ON fc.claim_id = p.claim_id
-            WHERE p.allowed_amount > 0 GROUP BY 1, 2""",
-    "resp_trend": f"""SELECT {month('fc.date_of_service')} AS period, SUM({SHORT}) AS total_patient_resp,
-            SUM(p.allowed_amount) AS total_allowed, COUNT(DISTINCT fc.claim_id) AS claim_count,
-            {pct(f'SUM({SHORT})', 'SUM(p.allowed_amount)')} AS patient_resp_rate
-            FROM fc JOIN payments p ON fc.claim_id = p.claim_id WHERE p.allowed_amount > 0 GROUP BY 1""",
+    "resp_payer": f"""SELECT *, {pct('total_patient_resp', 'total_allowed')} AS pct_of_allowed FROM (
+            SELECT payer_name, payer_type, COUNT(payment_id) AS payment_count, SUM(short) AS total_patient_resp,
+            AVG(short) AS avg_patient_resp, SUM(allowed_amount) AS total_allowed
+            FROM short_rows JOIN payers USING (payer_id) GROUP BY 1, 2)""",
+    "resp_dept": """SELECT department, encounter_type, COUNT(DISTINCT claim_id) AS claim_count,
+            SUM(short) AS total_patient_resp, AVG(short) AS avg_patient_resp
+            FROM short_rows JOIN visits USING (encounter_id) GROUP BY 1, 2""",
+    "resp_trend": f"""SELECT *, {pct('total_patient_resp', 'total_allowed')} AS patient_resp_rate FROM (
+            SELECT {month('date_of_service')} AS period, SUM(short) AS total_patient_resp,
+            SUM(allowed_amount) AS total_allowed, COUNT(DISTINCT claim_id) AS claim_count FROM short_rows GROUP BY 1)""",
 }
 
 

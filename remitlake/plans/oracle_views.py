@@ -9,24 +9,22 @@ FANNED = "claims c LEFT JOIN payments p ON c.claim_id = p.claim_id"
 AGE = f"datediff('day', TRY_CAST(c.date_of_service AS DATE), DATE '{AS_OF}')"
 
 GOLD_REL = {
-    "g_monthly": f"""SELECT {month('c.date_of_service')} AS period, COUNT(DISTINCT c.claim_id) AS total_claims,
-        SUM(c.total_charge_amount) AS total_charges, COALESCE(SUM(p.payment_amount), 0) AS total_payments,
-        SUM(CASE WHEN c.is_clean_claim = 1 THEN 1 ELSE 0 END) * 1.0 / NULLIF(COUNT(c.claim_id), 0) AS clean_claim_rate,
-        SUM(CASE WHEN c.claim_status = 'Denied' THEN 1 ELSE 0 END) * 1.0 / NULLIF(COUNT(c.claim_id), 0) AS denial_rate,
-        COALESCE(SUM(p.payment_amount), 0) / NULLIF(SUM(c.total_charge_amount), 0) AS gross_collection_rate
-        FROM {FANNED} GROUP BY 1""",
-    "g_payer": """SELECT py.payer_id, py.payer_name, py.payer_type, COUNT(DISTINCT c.claim_id) AS total_claims,
-        SUM(c.total_charge_amount) AS total_charges, COALESCE(SUM(p.payment_amount), 0) AS total_payments,
-        SUM(CASE WHEN c.claim_status = 'Denied' THEN 1 ELSE 0 END) * 1.0 / NULLIF(COUNT(c.claim_id), 0) AS denial_rate,
-        COALESCE(SUM(p.payment_amount), 0) / NULLIF(SUM(c.total_charge_amount), 0) AS gross_collection_rate
-        FROM payers py LEFT JOIN claims c ON py.payer_id = c.payer_id LEFT JOIN payments p ON c.claim_id = p.claim_id
-        GROUP BY 1, 2, 3""",
-    "g_dept": """SELECT e.department, COUNT(DISTINCT e.encounter_id) AS total_encounters,
-        COALESCE(SUM(ch.charge_amount), 0) AS total_charges, COALESCE(SUM(p.payment_amount), 0) AS total_payments,
-        COALESCE(SUM(p.payment_amount), 0) / NULLIF(COUNT(DISTINCT e.encounter_id), 0) AS revenue_per_encounter
-        FROM encounters e LEFT JOIN charges ch ON e.encounter_id = ch.encounter_id
-        LEFT JOIN claims c ON e.encounter_id = c.encounter_id LEFT JOIN payments p ON c.claim_id = p.claim_id
-        GROUP BY 1""",
+    "g_rows": f"SELECT c.*, p.payment_amount FROM {FANNED}",
+    "g_monthly": f"""SELECT {month('date_of_service')} AS period, COUNT(DISTINCT claim_id) AS total_claims,
+        SUM(total_charge_amount) AS total_charges, COALESCE(SUM(payment_amount), 0) AS total_payments,
+        AVG(CASE WHEN is_clean_claim = 1 THEN 1.0 ELSE 0.0 END) AS clean_claim_rate,
+        AVG(CASE WHEN claim_status = 'Denied' THEN 1.0 ELSE 0.0 END) AS denial_rate,
+        COALESCE(SUM(payment_amount), 0) / NULLIF(SUM(total_charge_amount), 0) AS gross_collection_rate
+        FROM g_rows GROUP BY 1""",
+    "g_payer": """SELECT y.payer_id, y.payer_name, y.payer_type, COUNT(DISTINCT g.claim_id) AS total_claims,
+        SUM(g.total_charge_amount) AS total_charges, COALESCE(SUM(g.payment_amount), 0) AS total_payments,
+        AVG(CASE WHEN g.claim_id IS NULL THEN NULL WHEN g.claim_status = 'Denied' THEN 1.0 ELSE 0.0 END) AS denial_rate,
+        COALESCE(SUM(g.payment_amount), 0) / NULLIF(SUM(g.total_charge_amount), 0) AS gross_collection_rate
+        FROM payers y LEFT JOIN g_rows g ON g.payer_id = y.payer_id GROUP BY 1, 2, 3""",
+    "g_dept": """SELECT *, total_payments / NULLIF(total_encounters, 0) AS revenue_per_encounter FROM (
+        SELECT e.department, COUNT(DISTINCT e.encounter_id) AS total_encounters,
+        COALESCE(SUM(h.charge_amount), 0) AS total_charges, COALESCE(SUM(g.payment_amount), 0) AS total_payments
+        FROM encounters e LEFT JOIN charges h USING (encounter_id) LEFT JOIN g_rows g USING (encounter_id) GROUP BY 1)""",
     "g_aging": f"""SELECT CASE WHEN {AGE} <= 30 THEN '0-30 days' WHEN {AGE} <= 60 THEN '31-60 days'
         WHEN {AGE} <= 90 THEN '61-90 days' WHEN {AGE} <= 120 THEN '91-120 days' ELSE '120+ days' END AS aging_bucket,
         COUNT(c.claim_id) AS claim_count, SUM(c.total_charge_amount) AS total_billed,

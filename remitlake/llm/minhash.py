@@ -101,14 +101,15 @@ def _digest(values: np.ndarray) -> bytes:
 def _verifier(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part.slice(at, 2048) for part in batches for at in range(0, part.num_rows, 2048)):
             a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
+            keep, held = [], held if len(held) < 4096 else {}
+            for ids, texts in ((a, text_a), (b, text_b)):
+                for i, doc in enumerate(ids):
+                    if doc not in held:
+                        held[doc] = shingle_set(texts[i], width)
             for i, hub in enumerate(a):
-                if hub not in held:
-                    held = {} if len(held) >= 64 else held
-                    held[hub] = shingle_set(text_a[i], width)
-                x, y = held[hub], shingle_set(text_b[i], width)
+                x, y = held[hub], held[b[i]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(
@@ -170,29 +171,32 @@ def near_duplicates(
         if fine is None:
             texts = _texts(d, live.select(F.col("rep").alias("doc")))
             fine = stored(texts.mapInArrow(_fine_sketcher(width), "rep long, fine array<long>"), "fine")
-        live = live.join(fine, "rep")
+        live = live.join(fine, "rep").join(classes.select("rep", "bands").dropDuplicates(["rep"]), "rep")
         most = (
             live.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1").select("key", F.col("top.label").alias("top"))
+            .groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("labels"))
+            .where("labels > 1").select("key", F.col("top.label").alias("top"), (F.col("size") - F.col("top.c")).alias("others"))
         )
+        salt = F.when(F.col("others") <= HUBS, F.xxhash64("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(HUBS)))
         hubs = stored(
-            live.join(most, "key").where("label <> top")
-            .groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("salt"))
-            .agg(F.min(F.struct("rep", "n", "label", "fine")).alias("h")).select("key", "h.*"),
+            live.join(most, "key").where("label <> top").groupBy("key", salt.alias("salt"))
+            .agg(F.min(F.struct("rep", "n", "label", "fine", "bands")).alias("h"), F.max("others").alias("others"))
+            .select("key", "h.*", "others"),
             "hubs",
         )
-        if hubs.isEmpty():
+        largest = hubs.agg(F.max("others")).first()[0]
+        if largest is None:
             break
-        met = _packed(live, "members").join(_packed(hubs, "hubs"), "key").select("members", "hubs")
-        fresh = met.mapInArrow(_comparer(percent), "u long, v long").distinct()
+        met = _packed(live, "members").join(_packed(hubs, "hubs"), "key").select("members", "hubs", "key")
+        fresh = met.mapInArrow(_comparer(percent, bands), "u long, v long").distinct()
         fresh = stored(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
         done = done.unionByName(hubs.select("key", "rep"))
         new = stored(_confirmed(spark, fresh, d, width, percent), "links")
         if not new.isEmpty():
-            edges = edges.unionByName(new)
             labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(new))
+        if largest <= HUBS:  # every pair of every bucket is settled
+            break
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("label", "rep").alias("label")
     )
@@ -225,27 +229,30 @@ def _packed(members: DataFrame, name: str) -> DataFrame:
     """Members of a bucket in rows of about BLOCK."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    return dealt.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "label", "fine")).alias(name)).drop("block")
+    return dealt.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "n", "label", "fine", "bands")).alias(name)).drop("block")
 
 
-def _comparer(percent: int):
-    """Pairs of a member and a hub of different components whose sizes and finer sketches allow the similarity."""
+def _comparer(percent: int, bands: int):
+    """Pairs of a member and a hub of different components whose sizes and finer sketches allow the similarity; of all
+    buckets that they share, only the first one names them."""
     most, words, low = _most_differences(FINE, percent, 5), -(-FINE // 32), U64(0x5555555555555555)
 
     def unpacked(rows: pa.Scalar) -> list[np.ndarray]:
-        rep, n, label, fine = rows.values.flatten()
-        return [rep.to_numpy(), n.to_numpy(), label.to_numpy(), fine.flatten().to_numpy().view(U64).reshape(-1, words)]
+        rep, n, label, fine, keys = rows.values.flatten()
+        wide = [fine.flatten().to_numpy().view(U64).reshape(-1, words), keys.flatten().to_numpy().reshape(-1, bands)]
+        return [rep.to_numpy(), n.to_numpy(), label.to_numpy(), *wide]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (rep, n, label, fine), hubs = unpacked(batch.column(0)[i]), unpacked(batch.column(1)[i])
+                key, (rep, n, label, fine, keys), hubs = batch.column(2)[i].as_py(), *map(unpacked, (batch.column(j)[i] for j in (0, 1)))
                 u, v = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-                for hub, hub_n, hub_label, hub_fine in zip(*hubs):
+                for hub, hub_n, hub_label, hub_fine, hub_keys in zip(*hubs):
                     fits = 100 * np.minimum(n, hub_n) >= percent * np.maximum(n, hub_n)
                     at = np.flatnonzero(fits & (label != hub_label))
                     x = fine[at] ^ hub_fine
                     at = at[np.bitwise_count((x | x >> U64(1)) & low).sum(axis=1) <= most]
+                    at = at[hub_keys[(keys[at] == hub_keys).argmax(axis=1)] == key]
                     u.append(np.minimum(rep[at], hub))
                     v.append(np.maximum(rep[at], hub))
                 pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)

@@ -51,7 +51,9 @@ def cascade(silver: Silver, p: FilterParams) -> Silver:
     that date filter as well. Charges follow the encounters, the rest follow the claims.
     """
     start, end = F.lit(p.start_date).cast("date"), F.lit(p.end_date).cast("date")
-    in_range = iso_date("date_of_service").between(start, end)
+    # A date that parses is equal to its text, so comparing the text as well changes nothing but reaches the scan.
+    as_text = F.col("date_of_service").between(p.start_date, p.end_date)
+    in_range = as_text & iso_date("date_of_service").between(start, end)
     claims = silver.claims.filter(in_range)
     if p.payer_id:
         claims = claims.filter(F.col("payer_id") == p.payer_id)
@@ -90,8 +92,9 @@ def options(silver: Silver, which: str) -> DataFrame:
 
 
 def payer_id_of(silver: Silver, payer_name: str) -> DataFrame:
-    """Key for a payer name; the first match if the name is used twice."""
-    return silver.payers.filter(F.col("payer_name") == payer_name).select("payer_id").limit(1)
+    """Key for a payer name; the smallest if the name is used twice, no row if it is not used."""
+    named = silver.payers.filter(F.col("payer_name") == payer_name)
+    return named.agg(F.min("payer_id").alias("payer_id")).filter("payer_id IS NOT NULL")
 
 
 def search(df: DataFrame, text: str = "", **equal: str) -> DataFrame:

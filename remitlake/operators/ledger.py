@@ -20,14 +20,13 @@ from remitlake.functions.columns import count_when, sum_when, total
 from remitlake.operators.filters import FilterParams, filtered_claims
 from remitlake.sources.silver import Silver
 
-# A claim paid in full by several payments keeps a difference of this order at most: the
-# rounding noise of adding doubles, which is not an open balance.
-NOISE = 1e-6
+# Balances are summed as decimals: a claim paid in full by several payments has none left.
+EXACT = "decimal(28,10)"
 
 
 def is_open():
     """The claim has a balance left."""
-    return F.col("balance") > NOISE
+    return F.col("balance") > 0
 
 
 def shortfall():
@@ -45,6 +44,7 @@ def payment_totals(payments: DataFrame) -> DataFrame:
     return payments.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("n_payments"),
         total("payment_amount").alias("paid"),
+        F.sum(F.col("payment_amount").cast(EXACT)).alias("paid_exactly"),
         F.sum("is_accurate_payment").alias("n_accurate"),
     )
 
@@ -79,8 +79,10 @@ def with_payments(claims: DataFrame, payments: DataFrame) -> DataFrame:
         "n_accurate": F.coalesce("n_accurate", F.lit(0)),
     }).withColumns({
         "weight": F.greatest("n_payments", F.lit(1)),
-        "balance": F.col("total_charge_amount") - F.col("paid"),
-    })
+        "balance": (
+            F.col("total_charge_amount").cast(EXACT) - F.coalesce("paid_exactly", F.lit(0).cast(EXACT))
+        ).cast("double"),
+    }).drop("paid_exactly")
 
 
 def with_adjustments(claims: DataFrame, adjustments: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ Metrics of several tables are aggregated table by table and then aligned on the
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -180,6 +182,8 @@ def _joined(silver: Silver, base: str, wanted: list[Dimension]) -> DataFrame:
     return frame
 
 
+ISO_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
+
 _COMPARE = {
     "=": lambda c, v: c == v,
     "!=": lambda c, v: c != v,
@@ -195,6 +199,10 @@ def _aggregate(silver: Silver, base: str, names: list[str], by: list[str], where
     conditions = [(Dimension(d), op, value) for d, op, value in where]
     frame = _joined(silver, base, dims + [d for d, _, _ in conditions])
     for d, op, value in conditions:
+        source = TIME_DIMENSIONS.get(d.table, {}).get(d.column)
+        if source and not d.grain and all(ISO_DATE.fullmatch(str(v)) for v in (value if isinstance(value, list) else [value])):
+            # Days compare like their ISO text; stated on the text too, the condition reaches the scan.
+            frame = frame.filter(_COMPARE[op](F.col(f"{d.prefix}{source}"), value))
         frame = frame.filter(_COMPARE[op](d.expression(d.prefix), value))
     aggregates = [
         (METRICS[base][n]() if n in METRICS[base] else F.sum(n)).alias(n) for n in names

@@ -84,8 +84,9 @@ MONTHLY = {
     "m": """SELECT mc.period, mc.charges, COALESCE(mp.payments, 0) AS payments
             FROM mc LEFT JOIN mp ON mc.period = mp.period""",
     "open_claims": """SELECT * FROM (SELECT claim_id, date_of_service, submission_date, payer_id,
-            ANY_VALUE(total_charge_amount) - COALESCE(SUM(payment_amount), 0) AS balance
-            FROM paid_rows GROUP BY 1, 2, 3, 4) WHERE balance > 0.000001""",
+            CAST(CAST(total_charge_amount AS DECIMAL(28, 10)) - COALESCE(SUM(CAST(payment_amount AS DECIMAL(28, 10))), 0)
+            AS DOUBLE) AS balance
+            FROM paid_rows GROUP BY 1, 2, 3, 4, total_charge_amount) WHERE balance > 0""",
     "dar": f"""SELECT period, charges, payments,
             GREATEST(SUM(charges - payments) OVER w, 0) AS ar_balance,
             {per('GREATEST(SUM(charges - payments) OVER w, 0)', 'SUM(charges) OVER w / 90')} AS days_in_ar

@@ -328,7 +328,7 @@ ETL_SQL = {
     ),
 }
 
-ETL_SQL |= {f"files_{t}": ETL_SQL[t] for t in ("claims", "denials")}
+ETL_SQL |= {f"files_{t}": ETL_SQL[t] for t in TABLE_NAMES}
 
 
 def series_statements(more_digits: dict[str, int]) -> dict[str, str]:
@@ -337,5 +337,5 @@ def series_statements(more_digits: dict[str, int]) -> dict[str, str]:
     for prefix, group in (("metric_", METRIC_SQL), ("etl_", ETL_SQL)):
         for name, (columns, body) in group.items():
             key = prefix + name
-            out[key] = statement(columns, body, {}, more_digits.get(key, 4))
+            out[key] = statement(columns, body, {}, more_digits.get(key.replace("files_", ""), 4))
     return out

@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from remitlake.plans.oracle_kpis import CORE, DENIED, half_up, month, pct, per, relations, statement
-from remitlake.plans.params import AS_OF, AS_OF_TIME, DEPARTMENT, PAYER, PAYER_NAME, PROVIDER, TWO_YEARS
+from remitlake.operators.filters import FilterParams
+from remitlake.plans.params import (
+    AS_OF,
+    AS_OF_TIME,
+    DEPARTMENT,
+    PAYER,
+    PAYER_NAME,
+    PROVIDER,
+    UNFILTERED_VIEWS,
+    VIEW_VARIANTS,
+)
 
 FANNED = "claims c LEFT JOIN payments p ON c.claim_id = p.claim_id"
 AGE = f"datediff('day', TRY_CAST(c.date_of_service AS DATE), DATE '{AS_OF}')"
@@ -240,40 +250,45 @@ FRESH_REL = {
 }
 
 
-# ------------------------------------------------------------------ report views (two-year range)
-
-P = TWO_YEARS
-IN_RANGE = f"TRY_CAST(date_of_service AS DATE) BETWEEN DATE '{P.start_date}' AND DATE '{P.end_date}'"
-VIEW_REL = {
-    "f_claims": f"SELECT * FROM claims WHERE {IN_RANGE}",
-    "f_encounters": f"SELECT * FROM encounters WHERE {IN_RANGE}",
-    "f_payments": "SELECT * FROM payments WHERE claim_id IN (SELECT claim_id FROM f_claims)",
-    "f_denials": "SELECT * FROM denials WHERE claim_id IN (SELECT claim_id FROM f_claims)",
-    "f_adjustments": "SELECT * FROM adjustments WHERE claim_id IN (SELECT claim_id FROM f_claims)",
-    "f_charges": "SELECT * FROM charges WHERE encounter_id IN (SELECT encounter_id FROM f_encounters)",
-    "core": CORE,
-    "money": """SELECT (SELECT SUM(total_charge_amount) FROM f_claims) AS c, (SELECT SUM(payment_amount) FROM f_payments) AS p,
-        (SELECT SUM(adjustment_amount) FROM f_adjustments) AS a,
-        (SELECT SUM(denied_amount) - SUM(recovered_amount) FROM f_denials) AS lost""",
-    "under60": """SELECT SUM(CASE WHEN aging_bucket IN ('0-30', '31-60') THEN pct_of_total ELSE 0 END) AS ar_under_60_pct
-        FROM aging""",
-    "prov_sum": """SELECT AVG(collection_rate) AS avg_collection_rate, AVG(denial_rate) AS avg_denial_rate,
-        AVG(clean_claim_rate) AS avg_clean_claim_rate, COUNT(CASE WHEN denial_rate > 15 THEN 1 END)
-        AS high_denial_providers FROM prov""",
-    "under_sum": f"""SELECT SUM(total_underpaid) AS recovery_opportunity,
-        {pct('SUM(total_underpaid)', 'SUM(total_allowed)')} AS underpayment_rate, SUM(underpaid_count) AS underpaid_claims,
-        {per('SUM(total_underpaid)', 'SUM(underpaid_count)')} AS avg_underpayment FROM under""",
-    "resp_sum": f"""SELECT SUM(total_patient_resp) AS total_patient_resp,
-        {pct('SUM(total_patient_resp)', 'SUM(total_allowed)')} AS patient_resp_rate,
-        AVG(avg_patient_resp) AS avg_patient_resp,
-        COALESCE(SUM(CASE WHEN lower(payer_type) LIKE '%self%' THEN total_patient_resp END), 0) AS self_pay_exposure
-        FROM resp_payer""",
-    "drill_payer": f"SELECT * FROM f_claims WHERE payer_id = '{PAYER}'",
-    "drill_dept_enc": f"SELECT * FROM f_encounters WHERE department = '{DEPARTMENT}'",
-    "drill_dept": "SELECT * FROM f_claims WHERE encounter_id IN (SELECT encounter_id FROM drill_dept_enc)",
-    "drill_prov": f"""SELECT * FROM f_claims WHERE encounter_id IN
-        (SELECT encounter_id FROM encounters WHERE provider_id = '{PROVIDER}')""",
-}
+# ------------------------------------------------------------------ report views
+
+def _in_range(p: FilterParams) -> str:
+    return f"TRY_CAST(date_of_service AS DATE) BETWEEN DATE '{p.start_date}' AND DATE '{p.end_date}'"
+
+
+def view_rel(p: FilterParams) -> dict[str, str]:
+    in_range = _in_range(p)
+    return {
+        "f_claims": f"SELECT * FROM claims WHERE {in_range}",
+        "f_encounters": f"SELECT * FROM encounters WHERE {in_range}",
+        "f_payments": "SELECT * FROM payments WHERE claim_id IN (SELECT claim_id FROM f_claims)",
+        "f_denials": "SELECT * FROM denials WHERE claim_id IN (SELECT claim_id FROM f_claims)",
+        "f_adjustments": "SELECT * FROM adjustments WHERE claim_id IN (SELECT claim_id FROM f_claims)",
+        "f_charges": "SELECT * FROM charges WHERE encounter_id IN (SELECT encounter_id FROM f_encounters)",
+        "core": CORE,
+        "money": """SELECT (SELECT SUM(total_charge_amount) FROM f_claims) AS c, (SELECT SUM(payment_amount) FROM f_payments) AS p,
+            (SELECT SUM(adjustment_amount) FROM f_adjustments) AS a,
+            (SELECT SUM(denied_amount) - SUM(recovered_amount) FROM f_denials) AS lost""",
+        "under60": """SELECT SUM(CASE WHEN aging_bucket IN ('0-30', '31-60') THEN pct_of_total ELSE 0 END) AS ar_under_60_pct
+            FROM aging""",
+        "prov_sum": """SELECT AVG(collection_rate) AS avg_collection_rate, AVG(denial_rate) AS avg_denial_rate,
+            AVG(clean_claim_rate) AS avg_clean_claim_rate, COUNT(CASE WHEN denial_rate > 15 THEN 1 END)
+            AS high_denial_providers FROM prov""",
+        "under_sum": f"""SELECT SUM(total_underpaid) AS recovery_opportunity,
+            {pct('SUM(total_underpaid)', 'SUM(total_allowed)')} AS underpayment_rate, SUM(underpaid_count) AS underpaid_claims,
+            {per('SUM(total_underpaid)', 'SUM(underpaid_count)')} AS avg_underpayment FROM under""",
+        "resp_sum": f"""SELECT SUM(total_patient_resp) AS total_patient_resp,
+            {pct('SUM(total_patient_resp)', 'SUM(total_allowed)')} AS patient_resp_rate,
+            AVG(avg_patient_resp) AS avg_patient_resp,
+            COALESCE(SUM(CASE WHEN lower(payer_type) LIKE '%self%' THEN total_patient_resp END), 0) AS self_pay_exposure
+            FROM resp_payer""",
+        "drill_payer": f"SELECT * FROM f_claims WHERE payer_id = '{PAYER}'",
+        "drill_dept_enc": f"SELECT * FROM f_encounters WHERE department = '{DEPARTMENT}'",
+        "drill_dept": "SELECT * FROM f_claims WHERE encounter_id IN (SELECT encounter_id FROM drill_dept_enc)",
+        "drill_prov": f"""SELECT * FROM f_claims WHERE encounter_id IN
+            (SELECT encounter_id FROM encounters WHERE provider_id = '{PROVIDER}')""",
+    }
+
 
 
 def _graded(rows: list[tuple], source: str) -> str:
@@ -581,26 +596,34 @@ for _t, _columns in {
     VIEW_SQL[f"cascade_{_t}"] = (_columns, f"SELECT * FROM f_{_t}")
 
 # The cascade with every filter set: encounters by their own date, payer on claims only.
-CASCADE_REL = {
-    "n_encounters": f"""SELECT * FROM encounters WHERE {IN_RANGE} AND department = '{DEPARTMENT}'
-        AND encounter_type = '1-URGENT'""",
-    "n_claims": f"""SELECT * FROM claims WHERE {IN_RANGE} AND payer_id = '{PAYER}'
-        AND encounter_id IN (SELECT encounter_id FROM n_encounters)""",
-    "n_sizes": _union([
-        "SELECT 'claims' AS \"table\", COUNT(*) AS n FROM n_claims",
-        "SELECT 'encounters', COUNT(*) FROM n_encounters",
-        "SELECT 'payments', COUNT(*) FROM payments WHERE claim_id IN (SELECT claim_id FROM n_claims)",
-        "SELECT 'denials', COUNT(*) FROM denials WHERE claim_id IN (SELECT claim_id FROM n_claims)",
-        "SELECT 'adjustments', COUNT(*) FROM adjustments WHERE claim_id IN (SELECT claim_id FROM n_claims)",
-        "SELECT 'charges', COUNT(*) FROM charges WHERE encounter_id IN (SELECT encounter_id FROM n_encounters)",
-    ]),
-}
+def cascade_rel(p: FilterParams) -> dict[str, str]:
+    in_range = _in_range(p)
+    return {
+        "n_encounters": f"""SELECT * FROM encounters WHERE {in_range} AND department = '{DEPARTMENT}'
+            AND encounter_type = '1-URGENT'""",
+        "n_claims": f"""SELECT * FROM claims WHERE {in_range} AND payer_id = '{PAYER}'
+            AND encounter_id IN (SELECT encounter_id FROM n_encounters)""",
+        "n_sizes": _union([
+            "SELECT 'claims' AS \"table\", COUNT(*) AS n FROM n_claims",
+            "SELECT 'encounters', COUNT(*) FROM n_encounters",
+            "SELECT 'payments', COUNT(*) FROM payments WHERE claim_id IN (SELECT claim_id FROM n_claims)",
+            "SELECT 'denials', COUNT(*) FROM denials WHERE claim_id IN (SELECT claim_id FROM n_claims)",
+            "SELECT 'adjustments', COUNT(*) FROM adjustments WHERE claim_id IN (SELECT claim_id FROM n_claims)",
+            "SELECT 'charges', COUNT(*) FROM charges WHERE encounter_id IN (SELECT encounter_id FROM n_encounters)",
+        ]),
+    }
+
 VIEW_SQL["cascade_sizes"] = ('"table" n:i', "SELECT * FROM n_sizes")
 
 
 def view_statements() -> dict[str, str]:
-    rel = {**relations(P), **VIEW_REL, **FRESH_REL, **CASCADE_REL}
-    out = {f"view_{name}": statement(columns, body, rel) for name, (columns, body) in VIEW_SQL.items()}
+    out = {}
+    for suffix, p in VIEW_VARIANTS.items():
+        rel = {**relations(p), **view_rel(p), **FRESH_REL, **cascade_rel(p)}
+        out |= {
+            f"view_{name}{suffix}": statement(columns, body, rel)
+            for name, (columns, body) in VIEW_SQL.items() if not suffix or name not in UNFILTERED_VIEWS
+        }
     out |= {f"gold_{name}": statement(c, b, GOLD_REL) for name, (c, b) in GOLD_SQL.items()}
     for name, body in PROCESS.items():
         kind = "i" if name in _COUNTS else "d"

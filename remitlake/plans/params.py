@@ -13,3 +13,11 @@ AS_OF = "2001-12-31"
 AS_OF_TIME = "2001-12-31 00:00:00"
 PAYER, DEPARTMENT, PROVIDER = "3", "DEPT_3", "3"
 PAYER_NAME = "NATION_3"
+
+# Report views: the whole range, and two years of it.
+VIEW_VARIANTS = {"": EVERYTHING, "_filtered": TWO_YEARS}
+# Views that take no date range.
+UNFILTERED_VIEWS = (
+    "freshness_rollup", "filter_date_bounds", "filter_payer_names", "filter_departments", "filter_encounter_types",
+    "filter_payer_id", "search_providers",
+)

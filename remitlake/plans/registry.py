@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,8 +21,8 @@ from remitlake.plans.params import (
     PAYER,
     PAYER_NAME,
     PROVIDER,
-    TWO_YEARS,
     VARIANTS,
+    VIEW_VARIANTS,
 )
 from remitlake.sources import export, ingest
 from remitlake.sources.schemas import TABLES
@@ -89,8 +88,8 @@ def _freshness(s: Silver) -> DataFrame:
     return kpis.data_freshness(log.withColumn("last_loaded_at", F.col("last_loaded_at") - hours), now)
 
 
-def _cascade_sizes(s: Silver) -> DataFrame:
-    p = FilterParams(TWO_YEARS.start_date, TWO_YEARS.end_date, PAYER, DEPARTMENT, "1-URGENT")
+def _cascade_sizes(s: Silver, dates: FilterParams) -> DataFrame:
+    p = FilterParams(dates.start_date, dates.end_date, PAYER, DEPARTMENT, "1-URGENT")
     scope = filters.cascade(s, p).tables()
     names = ("claims", "encounters", "payments", "denials", "adjustments", "charges")
     counts = process.row_counts("", {n: scope[n] for n in names})
@@ -98,8 +97,15 @@ def _cascade_sizes(s: Silver) -> DataFrame:
 
 
 def _view_queries() -> dict[str, Query]:
+    out = {}
+    for suffix, p in VIEW_VARIANTS.items():
+        out |= {f"{name}{suffix}": query for name, query in _dated_views(p).items()}
+    return out | _undated_views()
+
+
+def _dated_views(dates: FilterParams) -> dict[str, Query]:
     def view(build: Callable[[Silver, FilterParams], DataFrame]) -> Query:
-        return _query(lambda s: build(s, TWO_YEARS))
+        return _query(lambda s: build(s, dates))
 
     out = {
         f"view_{name}": view(getattr(views, name))
@@ -147,7 +153,12 @@ def _view_queries() -> dict[str, Query]:
         out[f"view_cascade_{table}"] = view(
             lambda s, p, table=table, columns=columns: getattr(filters.cascade(s, p), table).select(*columns)
         )
-    out["view_cascade_sizes"] = _query(_cascade_sizes)
+    out["view_cascade_sizes"] = view(_cascade_sizes)
+    return out
+
+
+def _undated_views() -> dict[str, Query]:
+    out = {}
     out["view_freshness_rollup"] = _query(lambda s: views.freshness_rollup(_freshness(s)))
     out["view_filter_date_bounds"] = _query(lambda s: _as_text(filters.date_bounds(s), "min_date", "max_date"))
     for name, column in (
@@ -254,9 +265,11 @@ def _metric_queries() -> dict[str, Query]:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under the cluster's checkpoint folder if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder below the one that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _through_files(table: str) -> Query:
@@ -267,7 +280,8 @@ def _through_files(table: str) -> Query:
         export.write_csv(star_raw(star_silver(spark, root), table), f"{folder}/stage/{table}.csv")
         ingest.load_raw(spark, f"{folder}/stage", f"{folder}/bronze", [table])
         typed = ingest.to_typed(spark.read.parquet(f"{folder}/bronze/{table}"), table)
-        return typed.selectExpr(*[f"round({c}, {DIGITS}) as {c}" if t == "double" else c for c, t in typed.dtypes])
+        digits = MORE_DIGITS.get(f"etl_{table}", DIGITS)
+        return typed.selectExpr(*[f"round({c}, {digits}) as {c}" if t == "double" else c for c, t in typed.dtypes])
 
     return run
 
@@ -277,7 +291,7 @@ def _etl_queries() -> dict[str, Query]:
         f"etl_{t}": _query(lambda s, t=t: ingest.to_typed(star_raw(s, t), t), MORE_DIGITS.get(f"etl_{t}", DIGITS))
         for t in TABLES
     }
-    out |= {f"etl_files_{t}": _through_files(t) for t in ("claims", "denials")}
+    out |= {f"etl_files_{t}": _through_files(t) for t in TABLES}
     out["etl_load_log"] = _query(
         lambda s: _as_text(ingest.load_log_rows(s, F.lit(AS_OF_TIME).cast("timestamp_ntz")), "last_loaded_at")
     )

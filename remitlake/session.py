@@ -31,6 +31,7 @@ def local_session(cores: int | None = None, app: str = "remitlake", **conf: str)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", n)
+        .config("spark.checkpoint.dir", os.environ.get("REMITLAKE_CHECKPOINTS", "/tmp/remitlake-checkpoints"))
         .config("spark.sql.warehouse.dir", os.environ.get("REMITLAKE_WAREHOUSE", "/tmp/remitlake-warehouse"))
     )
     for key, value in {**SCALE_CONF, **conf}.items():

@@ -48,10 +48,26 @@ def null_texts(df: DataFrame) -> DataFrame:
     ])
 
 
-def load_raw(spark: SparkSession, source: str, target: str, tables: list[str] | None = None) -> None:
-    """Full reload of ``source/<table>.csv`` into ``target/<table>``, stamped with the load time."""
+def broken_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a raw file that end inside a quoted field."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).filter(quotes % 2 == 1).count()
+
+
+def load_raw(
+    spark: SparkSession, source: str, target: str, tables: list[str] | None = None, multi_line: bool = False
+) -> None:
+    """Full reload of ``source/<table>.csv`` into ``target/<table>``, stamped with the load time.
+
+    Without ``multi_line`` files are split by lines, so a file with a line break inside a quoted field is refused
+    before anything of it is written.
+    """
     for table in tables or TABLES:
-        frame = read_csv(spark, f"{source}/{table}.csv", table)
+        path = f"{source}/{table}.csv"
+        broken = 0 if multi_line else broken_lines(spark, path)
+        if broken:
+            raise ValueError(f"{path}: {broken} lines end inside a quoted field; load it with multi_line=True")
+        frame = read_csv(spark, path, table, multi_line)
         frame.withColumn("_loaded_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/{table}")
 
 
@@ -163,9 +179,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return runs.groupBy("domain").agg(latest.alias("run")).select("domain", "run.*")
 
 
-def run_pipeline(spark: SparkSession, source: str, target: str, clustered: bool = True) -> Silver:
+def run_pipeline(
+    spark: SparkSession, source: str, target: str, clustered: bool = True, multi_line: bool = False
+) -> Silver:
     """Raw files to raw layer to typed layer to load log, in that order."""
-    load_raw(spark, source, f"{target}/bronze")
+    load_raw(spark, source, f"{target}/bronze", multi_line=multi_line)
     write_typed(typed_silver(read_raw(spark, f"{target}/bronze")), f"{target}/silver", clustered)
     silver = Silver.from_parquet(spark, f"{target}/silver")
     append_log(load_log_rows(silver), f"{target}/metadata/pipeline_runs")

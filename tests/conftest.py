@@ -16,6 +16,7 @@ def spark():
     warehouse = tempfile.mkdtemp(prefix="run-warehouse-", dir="/tmp")
     session = local_session(8, "remitlake-tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": warehouse,
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-checkpoints-", dir="/tmp"),
         "spark.sql.maxMetadataStringLength": "2000",
     })
     yield session

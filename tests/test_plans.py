@@ -124,3 +124,21 @@ def test_hot_encounter_is_split_in_the_semi_join(spark, stored):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_date_ranges_reach_the_scan(spark, folder, make_silver):
+    """The cascade's and the metric queries' date conditions are pushed filters on a stored typed layer."""
+    from remitlake.operators import filters, semantic
+    from remitlake.operators.filters import FilterParams
+    from remitlake.sources import ingest
+    from remitlake.sources.silver import Silver
+
+    ingest.write_typed(make_silver(), f"{folder}/silver", True)
+    stored = Silver.from_parquet(spark, f"{folder}/silver")
+    scope = filters.cascade(stored, FilterParams("1997-01-01", "1998-12-31"))
+    query = semantic.metric_query(
+        stored, ["claims.denial_rate"], [], [("claims.date_of_service_time", ">=", "1998-01-01")]
+    )
+    for frame in (scope.claims, scope.encounters, query):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(date_of_service," in plan, plan

@@ -277,3 +277,18 @@ def test_display_text(spark):
     values = spark.sql("select * from values (null), (1234567.0D), (1500.0D), (12.34D), (250000.5D) t(v)")
     shown = [r["s"] for r in rows(values.select(process.display_text(F.col("v"), "%").alias("s")))]
     assert shown == ["—", "$1.2M%", "1,500%", "12.3%", "250,000.5%"]
+
+
+def test_balances_are_exact(make_silver):
+    """Paid in full by ten payments of a tenth: nothing open; open by half a millionth: open."""
+    from remitlake.operators.kpis import ar_aging
+    from remitlake.plans.params import EVERYTHING
+
+    day = {"date_of_service": "1998-01-05", "submission_date": "1998-01-06", "payer_id": "P"}
+    silver = make_silver(
+        claims=[{"claim_id": "full", "total_charge_amount": 1.0, **day}, {"claim_id": "open", "total_charge_amount": 5.0, **day}],
+        payments=[{"payment_id": f"f{i}", "claim_id": "full", "payment_amount": 0.1} for i in range(10)]
+        + [{"payment_id": "o", "claim_id": "open", "payment_amount": 4.9999995}],
+    )
+    rows = [r for r in ar_aging(silver, EVERYTHING).collect() if r["claim_count"]]
+    assert [r["claim_count"] for r in rows] == [1]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, new_path, whole_text
+from .common import U64, bounded, mix, new_path, whole_text
 from .tokenizer_cache import cached
 
 TOKENIZER, END = "word_bpe_49k.json", 2
@@ -234,7 +234,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
                     names=[id_col, "start", "n_tokens", "ids_crc32"],
                 )
 
-    placed = shards.join(starts, ["part", "shard"])
+    placed = shards.join(bounded(starts, 32 * starts.count()), ["part", "shard"])
     return placed.mapInArrow(emit, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -38,8 +38,8 @@ class TokenizerCache:
         self.keeps_white = not name.startswith("word_")
         pattern = public_tokenizers.PATTERN if self.keeps_white else r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
         self.split = regex.compile(pattern).findall
-        self.white = re.compile(r"\s[ \n]|\n\s").search
-        self.stops = re.compile(r"(?:[\W_]|^)[.,]").search
+        self.white = re.compile(r"\s(?:[ \n]|(?<=\n)\s)").search
+        self.stops = re.compile(r"[.,](?<![^\W_][.,])").search
         self.characters = _byte_characters()
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}

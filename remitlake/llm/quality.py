@@ -151,7 +151,8 @@ def quality_rules(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_
     get abstentions and fail. One row per input row, whatever the ids; equal rows are judged alike. No rows in, none
     out. Windows are compared by 64-bit hashes within one text.
     """
-    measured = stored(with_measures(docs.select(*columns, text_col), text_col).select(*columns, "_m"), "measures")
+    rows = docs.select(*columns, F.col(text_col).alias("_text"))
+    measured = stored(with_measures(rows, "_text").select(*columns, "_m"), "measures")
     return measured.select(
         *columns, *[F.col("_m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed().alias("base_failed"), kept(accepted(measured)).alias("kept"),
@@ -161,8 +162,10 @@ def quality_rules(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with their columns. The counts are stored beside the rows: a
     filter on computed columns would be moved below them and compute them anew for each use."""
-    measured = stored(with_measures(docs, text_col).select(*docs.columns, "_m"), "measures")
-    return measured.where(kept(accepted(measured))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(text_col).alias("_text"))
+    measured = stored(with_measures(rows, "_text").select("_row", "_m"), "measures")
+    return measured.where(kept(accepted(measured))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, bounded, mix, rolling, row_key, runs, stored, whole_text, word_hashes
 
@@ -176,8 +177,8 @@ def substring_dedup(
     )
     side = bounded(found.select(F.col("key").alias("_key"), F.col("first").alias("_first"), F.col("last").alias("_last")), size)
     joined = rows.join(side, "_key", "left").select("_text", "_first", "_last", *carried)
-    types = dict(joined.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "n_words long, n_removed long, kept string"])
+    schema = T.StructType([joined.schema[c] for c in carried])
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return joined.mapInArrow(_cutter(width, outline), schema)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, bounded, mix, rolling, row_key, runs, stored, whole_text
 
@@ -268,9 +269,10 @@ def suffix_dedup(
         row_key(id_col, text_col).alias("_key"), whole_text(text_col).alias("_text"), *[F.col(c) for c in carried]
     )
     joined = rows.join(bounded(cuts, size), "_key", "left").select("_text", "_runs", *carried)
-    types = dict(joined.dtypes)
-    kind = "string" if outline else "binary"
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), f"n_bytes long, n_removed long, n_spans long, kept {kind}"])
+    schema = T.StructType([joined.schema[c] for c in carried])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    schema = schema.add("kept", "string" if outline else "binary")
     return joined.mapInArrow(_cutter(width, outline), schema)
 
 

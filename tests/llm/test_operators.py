@@ -19,6 +19,7 @@ from remitlake.llm.tokenizer_cache import cached
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 R = random.Random(4)
 VOCABULARY = [f"{a}{b}" for a in ("re", "ti", "on", "the", "né", "Wh", "es") for b in ("ka", "lo", "mu", "x.", "y,", "ß")]
+VOCABULARY += ["the", "of", "and", "to", "in", "a", "de", "la"]
 
 
 def words(n):

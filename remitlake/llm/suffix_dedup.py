@@ -199,19 +199,33 @@ def _repeated(classes: DataFrame, width: int) -> DataFrame:
     return within.unionByName(starts.select("digest", "first", F.col("first").alias("last")))
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of window starts of a row, sorted by their first, joined where they touch or overlap."""
+    for batch in batches:
+        out: list[list] = [[], []]
+        for value in batch.column(1):
+            first, last = (x.to_numpy() for x in value.values.flatten())
+            reach = np.maximum.accumulate(last)
+            new = np.r_[True, first[1:] > reach[:-1] + 1]
+            out[0].append(first[new])
+            out[1].append(reach[np.r_[new[1:], True]])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=["_key", "_first", "_last"]
+        )
+
+
 def _cutter(width: int, outline: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(0), batch.column(1)
+            texts, first, last = (batch.column(i) for i in range(3))
             total, removed, pieces, kept = [], [], [], []
             for i, text in enumerate(texts.to_pylist()):
                 data = as_bytes(text)
                 gone = np.zeros(len(data), dtype=bool)
-                if found[i].is_valid:
+                if first[i].is_valid:
                     step = np.zeros(len(data) + 1, dtype=np.int64)
-                    flat = found[i].values.flatten()
-                    np.add.at(step, flat[0].to_numpy(), 1)
-                    np.add.at(step, flat[1].to_numpy() + width, -1)
+                    np.add.at(step, first[i].values.to_numpy(), 1)
+                    np.add.at(step, last[i].values.to_numpy() + width, -1)
                     gone = np.cumsum(step[:-1]) > 0
                 total.append(len(data))
                 removed.append(int(gone.sum()))
@@ -219,9 +233,9 @@ def _cutter(width: int, outline: bool):
                 rest = data[~gone].tobytes() if removed[-1] else data.tobytes()
                 kept.append(hashlib.sha256(rest).hexdigest() if outline else rest)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], *(pa.array(x, pa.int64()) for x in (total, removed, pieces)),
+                [*batch.columns[3:], *(pa.array(x, pa.int64()) for x in (total, removed, pieces)),
                  pa.array(kept, pa.string() if outline else pa.binary())],
-                names=[*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept"],
+                names=[*batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return cut
@@ -262,13 +276,14 @@ def suffix_dedup(
     repeated = _repeated(classes, width).where(F.size("first") > 0)
     run = F.expr("transform(arrays_zip(first, last), x -> struct(lo + x.first AS a, lo + x.last AS b))")
     per_row = around.select("digest", "key", "lo").join(repeated, "digest").select("key", F.explode(run).alias("r"))
-    cuts = stored(per_row.groupBy(F.col("key").alias("_key")).agg(F.collect_set("r").alias("_runs")), "cuts")
-    size = cuts.agg(F.coalesce(F.sum(40 + 24 * F.size("_runs")), F.lit(0))).first()[0]
+    cuts = per_row.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("r")).alias("runs"))
+    cuts = stored(cuts.mapInArrow(_merged, "_key long, _first array<int>, _last array<int>"), "cuts")
+    size = cuts.agg(F.coalesce(F.sum(48 + 8 * F.size("_first")), F.lit(0))).first()[0]
     carried = [id_col, *columns]
     rows = docs.select(
         row_key(id_col, text_col).alias("_key"), whole_text(text_col).alias("_text"), *[F.col(c) for c in carried]
     )
-    joined = rows.join(bounded(cuts, size), "_key", "left").select("_text", "_runs", *carried)
+    joined = rows.join(bounded(cuts, size), "_key", "left").select("_text", "_first", "_last", *carried)
     schema = T.StructType([joined.schema[c] for c in carried])
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, "long")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlake.functions.columns import (
@@ -381,14 +381,17 @@ def provider_drilldown(silver: Silver, p: FilterParams, provider_id: str) -> dic
 
 def cpt_summary(silver: Silver, p: FilterParams) -> DataFrame:
     """Codes, charges, codes above the denial limit and the share of the ten largest."""
-    order = Window.orderBy(F.col("total_charges").desc_nulls_last(), "cpt_code", "cpt_description")
-    codes = k.cpt_analysis(silver, p).withColumn("rank", F.row_number().over(order))
-    top = F.sum(F.when(F.col("rank") <= 10, F.col("total_charges")))
-    return codes.agg(
+    codes = k.cpt_analysis(silver, p)
+    top = codes.select("total_charges").orderBy(F.col("total_charges").desc_nulls_last()).limit(10)
+    sums = codes.agg(
         _rows().alias("codes"),
         total("total_charges").alias("total_charges"),
+        F.sum("total_charges").alias("charges"),
         count_when(F.col("denial_rate") > HIGH_DENIAL).alias("high_denial_codes"),
-        pct(top, F.sum("total_charges")).alias("top10_pct"),
+    )
+    both = side_by_side(sums, top.agg(F.sum("total_charges").alias("top")))
+    return both.select(
+        "codes", "total_charges", "high_denial_codes", pct(F.col("top"), F.col("charges")).alias("top10_pct")
     )
 
 

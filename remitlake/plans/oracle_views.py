@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from remitlake.plans.oracle_kpis import CORE, DENIED, half_up, month, pct, per, relations, statement
+from remitlake.plans.oracle_kpis import CORE, DENIED, KPI_SQL, half_up, month, pct, per, relations, statement
 from remitlake.operators.filters import FilterParams
 from remitlake.plans.params import (
     AS_OF,
@@ -14,6 +14,7 @@ from remitlake.plans.params import (
     UNFILTERED_VIEWS,
     VIEW_VARIANTS,
 )
+from remitlake.sources.schemas import DATE_COLUMNS, FLAG_COLUMNS, TABLES
 
 FANNED = "claims c LEFT JOIN payments p ON c.claim_id = p.claim_id"
 AGE = f"datediff('day', TRY_CAST(c.date_of_service AS DATE), DATE '{AS_OF}')"
@@ -551,6 +552,11 @@ VIEW_SQL = {
         {_money_text('total_payments')} AS total_payments, format('{{:.1f}}%', collection_rate) AS collection_rate,
         {_money_text('avg_payment_per_encounter')} AS avg_payment_per_encounter FROM dept""",
     ),
+    "aging_detail": (
+        "aging_bucket claim_count:i total_ar pct_of_total",
+        f"""SELECT aging_bucket, claim_count, {_money_text('total_ar')} AS total_ar,
+        format('{{:.1f}}%', pct_of_total) AS pct_of_total FROM ({KPI_SQL['ar_aging'][1]})""",
+    ),
     "detail_cpt": (
         "cpt_code cpt_description charge_count:i total_units:i total_charges:d avg_charge_per_unit:d claim_count:i "
         "denied_claims:i denial_rate:d",
@@ -616,6 +622,25 @@ def cascade_rel(p: FilterParams) -> dict[str, str]:
 VIEW_SQL["cascade_sizes"] = ('"table" n:i', "SELECT * FROM n_sizes")
 
 
+def _loader_column(table: str, name: str) -> str:
+    if name in DATE_COLUMNS.get(table, []):
+        return f"CAST(TRY_CAST({name} AS DATE) AS VARCHAR) AS {name}"
+    if name in FLAG_COLUMNS.get(table, []):
+        return f"COALESCE({name} <> 0, TRUE) AS {name}"
+    if (table, name) == ("operating_costs", "period"):
+        return "period || '-01' AS period"
+    return name
+
+
+def loader_statements(more_digits: dict[str, int]) -> dict[str, str]:
+    out = {}
+    for table in ("encounters", "claims", "payments", "denials", "operating_costs"):
+        shown = " ".join(f"{c}:d" if t == "double" else c for c, t in TABLES[table])
+        body = "SELECT " + ", ".join(_loader_column(table, c) for c, _ in TABLES[table]) + f" FROM {table}"
+        out[f"loader_{table}"] = statement(shown, body, {}, more_digits.get(f"etl_{table}", 4))
+    return out
+
+
 def view_statements() -> dict[str, str]:
     out = {}
     for suffix, p in VIEW_VARIANTS.items():

@@ -12,7 +12,7 @@ from remitlake.operators import filters, gold, kpis, process, quality, semantic,
 from remitlake.operators.filters import FilterParams
 from remitlake.plans.oracle_kpis import KPI_SQL, kpi_statement
 from remitlake.plans.oracle_series import SERIES, series_statements
-from remitlake.plans.oracle_views import view_statements
+from remitlake.plans.oracle_views import loader_statements, view_statements
 from remitlake.plans.params import (
     AS_OF,
     AS_OF_TIME,
@@ -24,9 +24,10 @@ from remitlake.plans.params import (
     VARIANTS,
     VIEW_VARIANTS,
 )
+from remitlake.session import set_scale_conf
 from remitlake.sources import export, ingest
-from remitlake.sources.schemas import TABLES
-from remitlake.sources.silver import Silver
+from remitlake.sources.schemas import DATE_COLUMNS, TABLES
+from remitlake.sources.silver import Silver, dashboard_types
 from remitlake.sources.star import star_raw, star_silver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,13 +46,19 @@ MORE_DIGITS = {
 }
 
 
-def _query(build: Callable[[Silver], DataFrame], digits: int = DIGITS) -> Query:
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.selectExpr(*[f"round(`{c}`, {digits}) as `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
+
+
+def _query(
+    build: Callable[[Silver], DataFrame], digits: int = DIGITS,
+    source: Callable[[SparkSession, str], Silver] = star_silver,
+) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        df = build(star_silver(spark, root))
-        return df.selectExpr(*[
-            f"round(`{c}`, {digits}) as `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes
-        ])
+        set_scale_conf(spark)
+        return _rounded(build(source(spark, root)), digits)
 
+    run.over = lambda other: _query(build, digits, other)  # the same operator over tables from elsewhere
     return run
 
 
@@ -114,7 +121,7 @@ def _dated_views(dates: FilterParams) -> dict[str, Query]:
             "financial_summary", "claim_status_distribution", "top_denial_reasons", "scrub_summary", "ar_under_60_share",
             "cash_flow", "charge_lag_histogram", "caption_counts", "payer_comparison", "payer_type_summary",
             "encounter_type_by_department", "provider_summary", "provider_scorecard", "cpt_summary",
-            "underpayment_summary", "patient_resp_summary", "patient_resp_by_payer_type",
+            "underpayment_summary", "patient_resp_summary", "patient_resp_by_payer_type", "aging_detail",
         )
     }
     for part in ("totals", "status", "reasons", "detail"):
@@ -280,12 +287,116 @@ def _through_files(table: str) -> Query:
         export.write_csv(star_raw(star_silver(spark, root), table), f"{folder}/stage/{table}.csv")
         ingest.load_raw(spark, f"{folder}/stage", f"{folder}/bronze", [table])
         typed = ingest.to_typed(spark.read.parquet(f"{folder}/bronze/{table}"), table)
-        digits = MORE_DIGITS.get(f"etl_{table}", DIGITS)
-        return typed.selectExpr(*[f"round({c}, {digits}) as {c}" if t == "double" else c for c, t in typed.dtypes])
+        return _rounded(typed, MORE_DIGITS.get(f"etl_{table}", DIGITS))
+
+    return run
+
+
+def _once(write: Callable[[SparkSession, str, str], None]) -> Callable[[SparkSession, str], str]:
+    """Folder that ``write`` fills from the tables of a root, once per application."""
+    folders: dict[tuple[str, str], str] = {}
+
+    def folder_of(spark: SparkSession, root: str) -> str:
+        key = (spark.sparkContext.applicationId, root)
+        if key not in folders:
+            set_scale_conf(spark)
+            folder = _scratch(spark)
+            write(spark, root, folder)
+            folders[key] = folder
+        return folders[key]
+
+    return folder_of
+
+
+def _load_everything(spark: SparkSession, root: str, folder: str) -> None:
+    raw = star_silver(spark, root)
+    for table in TABLES:
+        export.write_csv(star_raw(raw, table), f"{folder}/stage/{table}.csv")
+    ingest.run_pipeline(spark, f"{folder}/stage", folder)
+
+
+_loaded = _once(_load_everything)
+_typed_layer = _once(lambda spark, root, folder: ingest.write_typed(star_silver(spark, root), folder))
+
+
+def _stored_silver(spark: SparkSession, root: str) -> Silver:
+    """The typed layer as files, laid out by date of service."""
+    return Silver.from_parquet(spark, _typed_layer(spark, root))
+
+
+def _pipeline_queries() -> dict[str, Query]:
+    """All ten raw files through the raw and the typed layer; its tables and the load log, read back."""
+
+    def table_of(spark: SparkSession, root: str, table: str) -> DataFrame:
+        silver = Silver.from_parquet(spark, f"{_loaded(spark, root)}/silver")
+        return _rounded(getattr(silver, table), MORE_DIGITS.get(f"etl_{table}", DIGITS))
+
+    def log(spark: SparkSession, root: str) -> DataFrame:
+        return ingest.read_log(spark, f"{_loaded(spark, root)}/metadata/pipeline_runs").drop("last_loaded_at")
+
+    out: dict[str, Query] = {
+        f"etl_pipeline_{t}": lambda spark, root, t=t: table_of(spark, root, t) for t in TABLES
+    }
+    return out | {"etl_pipeline_log": log}
+
+
+#: Queries that also run over the stored typed layer.
+STORED = (
+    "kpi_core_kpis", "kpi_core_kpis_filtered", "kpi_days_in_ar_trend_filtered", "kpi_provider_performance",
+    "kpi_cpt_analysis", "gold_department_performance", "gold_payer_performance", "dq_all", "view_page_scorecards",
+    "view_cascade_sizes", "view_cascade_claims_filtered", "metric_filtered", "metric_payments_to_claims",
+)
+
+
+def _stored_queries(queries: dict[str, Query]) -> dict[str, Query]:
+    return {f"lake_{name}": queries[name].over(_stored_silver) for name in STORED}
+
+
+#: Export (set, sheet) -> the query whose rows it holds.
+EXPORTS = {
+    ("payer_analysis", "Payer Mix"): "kpi_payer_mix",
+    ("payer_analysis", "Denial by Payer"): "kpi_denial_rate_by_payer",
+    ("payer_analysis", "Payer Comparison"): "view_payer_comparison",
+    ("ar_aging_cashflow", "AR Aging Summary"): "kpi_ar_aging",
+    ("ar_aging_cashflow", "Cash Flow"): "view_cash_flow",
+    ("department_performance", "Department Summary"): "kpi_department_performance",
+    ("department_performance", "Encounter Type Mix"): "view_encounter_type_by_department",
+    ("provider_performance", "Provider Scorecard"): "view_provider_scorecard",
+    ("cpt_code_analysis", "CPT Code Analysis"): "view_detail_cpt",
+    ("underpayment_analysis", "Underpayment by Payer"): "view_detail_underpayment",
+    ("patient_responsibility", "Patient Responsibility"): "view_detail_patient_resp",
+    ("claim_scrubbing_breakdown", "Scrubbing Breakdown"): "view_detail_scrubbing",
+    ("collections_revenue", "Financial Summary"): "view_financial_summary",
+}
+
+
+def _export_name(label: str, sheet: str) -> str:
+    return f"export_{label}_{sheet.lower().replace(' ', '_')}"
+
+
+def _exported(label: str, sheet: str) -> Query:
+    """One sheet of an export set, written as CSV and read back."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        set_scale_conf(spark)
+        frame = views.export_sets(star_silver(spark, root), EVERYTHING)[label][sheet]
+        (path,) = export.write_sets({label: {sheet: frame}}, _scratch(spark))
+        back = spark.read.schema(frame.schema).option("header", True).option("escape", '"').csv(path)
+        return _rounded(back, DIGITS)
 
     return run
 
 
+def _loader_queries() -> dict[str, Query]:
+    """The loader's view of the typed layer (dates, flags, cost month), its dates written as text for comparison."""
+
+    def of(table: str) -> Query:
+        columns = [*DATE_COLUMNS.get(table, []), *(["period"] if table == "operating_costs" else [])]
+        return _query(lambda s: _as_text(getattr(dashboard_types(s), table), *columns), MORE_DIGITS.get(f"etl_{table}", DIGITS))
+
+    return {f"loader_{t}": of(t) for t in ("encounters", "claims", "payments", "denials", "operating_costs")}
+
+
 def _etl_queries() -> dict[str, Query]:
     out = {
         f"etl_{t}": _query(lambda s, t=t: ingest.to_typed(star_raw(s, t), t), MORE_DIGITS.get(f"etl_{t}", DIGITS))
@@ -299,10 +410,25 @@ def _etl_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return (
+    found = (
         _kpi_queries() | _other_queries() | _view_queries() | _series_queries() | _metric_queries() | _etl_queries()
     )
+    return (
+        found | _pipeline_queries() | _stored_queries(found) | _loader_queries()
+        | {_export_name(*key): _exported(*key) for key in EXPORTS}
+    )
 
 
 def all_oracles() -> dict[str, str]:
-    return _kpi_oracles() | view_statements() | series_statements(MORE_DIGITS)
+    found = _kpi_oracles() | view_statements() | series_statements(MORE_DIGITS)
+    counts = " UNION ALL ".join(
+        f"SELECT '{t}' AS domain, COUNT(*) AS row_count, '{t}.csv' AS source_file FROM ({found[f'etl_{t}']})" for t in TABLES
+    )
+    return (
+        found
+        | {f"etl_pipeline_{t}": found[f"etl_{t}"] for t in TABLES}
+        | {"etl_pipeline_log": counts}
+        | {f"lake_{name}": found[name] for name in STORED}
+        | {_export_name(*key): found[name] for key, name in EXPORTS.items()}
+        | loader_statements(MORE_DIGITS)
+    )

@@ -22,6 +22,13 @@ SCALE_CONF = {
 }
 
 
+def set_scale_conf(spark: SparkSession) -> None:
+    """Put the settings above on a running session where its owner has not chosen a value."""
+    for key, value in SCALE_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def local_session(cores: int | None = None, app: str = "remitlake", **conf: str) -> SparkSession:
     """Single-JVM session for tests and benchmarks (no web page, no open port)."""
     n = str(cores) if cores else os.environ.get("BENCH_CPUS", "8")

@@ -162,21 +162,19 @@ def load_log_rows(silver: Silver, loaded_at: Column | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def upsert_log(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of the new runs replace those of the same domain."""
-    return old.join(new, "domain", "left_anti").unionByName(new)
+LOG_SCHEMA = "domain string, last_loaded_at timestamp_ntz, row_count bigint, source_file string"
 
 
-def append_log(new: DataFrame, path: str) -> None:
-    """Record runs by appending; a file being read is never overwritten."""
-    new.write.mode("append").parquet(path)
+def upsert_log(new: DataFrame, path: str) -> None:
+    """Update or insert: the rows replace those of the same domain, other domains stay. One folder per domain, so
+    nothing is read for it and the log does not grow with the runs."""
+    writer = new.repartition(1, "domain").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("domain").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The latest run of every domain (same rows as an update-or-insert would leave)."""
-    runs = spark.read.parquet(path)
-    latest = F.max_by(F.struct("last_loaded_at", "row_count", "source_file"), "last_loaded_at")
-    return runs.groupBy("domain").agg(latest.alias("run")).select("domain", "run.*")
+    """The latest run of every domain."""
+    return spark.read.schema(LOG_SCHEMA).parquet(path).select("domain", "last_loaded_at", "row_count", "source_file")
 
 
 def run_pipeline(
@@ -186,5 +184,5 @@ def run_pipeline(
     load_raw(spark, source, f"{target}/bronze", multi_line=multi_line)
     write_typed(typed_silver(read_raw(spark, f"{target}/bronze")), f"{target}/silver", clustered)
     silver = Silver.from_parquet(spark, f"{target}/silver")
-    append_log(load_log_rows(silver), f"{target}/metadata/pipeline_runs")
+    upsert_log(load_log_rows(silver), f"{target}/metadata/pipeline_runs")
     return silver

@@ -92,10 +92,18 @@ def test_typed_silver_is_lazy_per_table(spark):
     assert silver.claims.count() == 0 and list(silver._opened) == ["claims"]
 
 
-def test_upsert_log(spark):
-    old = spark.createDataFrame([("a", 1), ("b", 1)], "domain string, row_count int")
-    new = spark.createDataFrame([("b", 2), ("c", 2)], "domain string, row_count int")
-    assert sorted(tuple(r.values()) for r in rows(ingest.upsert_log(old, new))) == [("a", 1), ("b", 2), ("c", 2)]
+def test_upsert_log(spark, folder):
+    """Rows of the same domain are replaced, others stay, and the log keeps one file per domain."""
+    def run(*counts):
+        log = spark.createDataFrame(counts, "domain string, row_count long").selectExpr(
+            "domain", "timestamp_ntz'2024-01-01' + make_dt_interval(row_count) as last_loaded_at", "row_count", "'f' as source_file"
+        )
+        ingest.upsert_log(log, f"{folder}/log")
+
+    run(("a", 1), ("b", 1))
+    run(("b", 2), ("c", 2))
+    assert sorted((r["domain"], r["row_count"]) for r in rows(ingest.read_log(spark, f"{folder}/log"))) == [("a", 1), ("b", 2), ("c", 2)]
+    assert len([f for _, _, files in os.walk(f"{folder}/log") for f in files if f.endswith(".parquet")]) == 3
 
 
 def test_missing_columns_are_named(spark):

@@ -4,9 +4,11 @@ import re
 
 import pytest
 from conftest import claim
+from pyspark.sql import functions as F
 
 from remitlake.operators import gold, kpis, quality, series, views
 from remitlake.operators.filters import FilterParams, filtered_claims
+from remitlake.session import set_scale_conf
 from remitlake.sources import ingest
 from remitlake.sources.schemas import TABLES
 from remitlake.sources.silver import Silver
@@ -92,8 +94,39 @@ def test_encounter_sums_come_before_the_encounter_join(stored):
 
 
 def test_typed_layer_is_laid_out_by_date(spark, stored, folder):
-    ingest.write_typed(stored, folder)
-    assert Silver.from_parquet(spark, folder).claims.count() == 1
+    claims = spark.range(0, 40_000, 1, 8).selectExpr(
+        "cast(id as string) claim_id", "concat('e', id) encounter_id", "'p' patient_id", "'A' payer_id",
+        "cast(date_add(date'2024-01-01', cast(id * 7919 % 300 as int)) as string) date_of_service",
+        "'2024-12-20' submission_date", "1.0D total_charge_amount", "'Paid' claim_status", "1 is_clean_claim",
+        "'Electronic' submission_method", "cast(null as string) fail_reason",
+    )
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        ingest.write_typed(stored.with_tables(claims=claims), folder)
+    finally:
+        spark.conf.set(coalesce, before)
+    written = Silver.from_parquet(spark, folder).claims
+    files = written.groupBy(F.input_file_name().alias("f")).agg(
+        F.min("date_of_service").alias("low"), F.max("date_of_service").alias("high")
+    ).orderBy("low").collect()
+    assert len(files) > 1 and all(a["high"] <= b["low"] for a, b in zip(files, files[1:]))
+
+
+def test_scale_settings_reach_a_session_that_has_none(spark):
+    """Settings are put where the owner chose nothing, and left where they did."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    set_scale_conf(other)
+    assert other.conf.get("spark.sql.adaptive.skewJoin.enabled") == "false"
+    assert other.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+
+
+def test_procedure_summary_has_no_window_over_all_codes(stored):
+    """The windows that are there run per code."""
+    specifications = re.findall(r"windowspecdefinition\((\w+)", plan(views.cpt_summary(stored, YEAR)))
+    assert set(specifications) <= {"cpt_code"}
 
 
 def test_hot_encounter_is_split_in_the_semi_join(spark, stored):

@@ -111,7 +111,8 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str, share: float,
     wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(_terms(whole_text(text_col)))).alias("term"))
     n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # combined before the shuffle: one row per word
-    n_t = n_t.join(bounded(wanted, 64 * wanted.count()), "term", "left_semi")
+    # An inner join: Spark would move a semi join below the counting, where it meets every word of every text.
+    n_t = n_t.join(bounded(wanted, 64 * wanted.count()), "term")
     bits = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.lit(float(max(n, 1))) / (F.col("n_t") * F.col("n_e")))
     scored = pairs.join(n_t, "term").where(bits > 0).select("entity", "term", (told / bits).alias("share"))

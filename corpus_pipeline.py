@@ -29,9 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Null ids stay."""
-    gone = stored(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(bounded(gone, 16 * gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id, null last. Rows are compared by a stored
+    number of their own, so rows that repeat an id and rows without id are documents like all others."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("node"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+    found = near_duplicates(rows.select("node", F.col("row.text").alias("text")), "node")
+    ids = rows.select("node", F.col("row.doc_id").alias("id"))
+    found = stored(found.join(ids, "node").select("node", "component_id", "id"), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    stay = found.groupBy("component_id").agg(first.alias("first")).select("first.node")
+    gone = stored(found.join(stay, "node", "left_anti").select("node"), "gone")
+    return rows.join(bounded(gone, 16 * gone.count()), "node", "left_anti").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

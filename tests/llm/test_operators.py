@@ -401,3 +401,18 @@ def test_pipeline_stages(spark, docs, empty):
                 assert after.count() <= now.count()
             now = after
         assert (now.count() > 0) == (start is docs)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, docs):
+    """Also where rows repeat an id or have none; the text of the row that stays is then repeated nowhere."""
+    numbered = groups([(n, t) for n, (_, t) in enumerate(ROWS)])
+    members = collections.defaultdict(list)
+    for (i, t), (n, _, group, _) in zip(ROWS, numbered):
+        members[group].append((i is None, i, n, t))
+    expected = [min(m)[1::2] for m in members.values()]
+    assert len(expected) < len(ROWS)
+    once = corpus_pipeline.stored(corpus_pipeline.near_duplicate(spark, docs, ""), "once")
+    same(once.select("doc_id", "text"), expected)
+    rows = [(7, words(80)), (None, words(80)), (None, None)]
+    once = corpus_pipeline.stored(corpus_pipeline.near_duplicate(spark, frame(spark, [*rows, *rows[:2], rows[1]]), ""), "once")
+    same(corpus_pipeline.repeated_passages(spark, once, "").select("doc_id", "text"), rows)

@@ -22,11 +22,12 @@ def _byte_characters() -> dict[int, str]:
 
 
 class TokenizerCache:
-    """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, special strings as plain text.
+    """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does with the library's own settings.
 
     A text is cut only where the library's own splitting would cut it as well: before a space and around a line break
     with no other white space beside them, and before a full stop or comma that follows a letter or digit. Texts where
-    that isn't sure, and pieces with characters beyond Latin-1, go to the library undivided; other pieces go to its model.
+    that isn't sure or that hold an added token's content, and pieces with characters beyond Latin-1, go to the library
+    undivided; other pieces go to its model.
     """
 
     def __init__(self, name: str) -> None:
@@ -34,7 +35,8 @@ class TokenizerCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        # All are matched in the text as given, before any normalisation.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_white = not name.startswith("word_")
         pattern = public_tokenizers.PATTERN if self.keeps_white else r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
         self.split = regex.compile(pattern).findall
@@ -49,7 +51,7 @@ class TokenizerCache:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _chunks(self, text: str) -> list[str] | None:
-        if "\0" in text or self.keeps_white and self.white(text):
+        if "\0" in text or any([a in text for a in self.added]) or self.keeps_white and self.white(text):
             return None
         if not self.stops(text):
             text = text.replace(".", "\0.").replace(",", "\0,")

@@ -416,3 +416,18 @@ def test_pipeline_keeps_one_row_of_each_group(spark, docs):
     rows = [(7, words(80)), (None, words(80)), (None, None)]
     once = corpus_pipeline.stored(corpus_pipeline.near_duplicate(spark, frame(spark, [*rows, *rows[:2], rows[1]]), ""), "once")
     same(corpus_pipeline.repeated_passages(spark, once, "").select("doc_id", "text"), rows)
+
+
+@pytest.mark.parametrize("name", [token_store.TOKENIZER, packing.TOKENIZER])
+def test_added_tokens_in_a_text_get_their_own_id(name):
+    """As a fresh tokenizer of the library does it, without any setting."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "＜|endoftext|>"]
+    parts = [*marks, " ", "\n", "hello", "Don't", "é", "漢", "12", ".", ",", "  "]
+    texts = ["hello <|endoftext|> world", *[t or "" for _, t in ROWS]]
+    texts += ["".join(R.choice(parts) for _ in range(R.randrange(12))) for _ in range(2000)]
+    expected = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(expected[0]) == 4 - (name == token_store.TOKENIZER)
+    assert [np.frombuffer(x, "<u4").tolist() for x in cached(name).encode(texts)] == expected

@@ -23,10 +23,11 @@ PATTERNS = {
 #: Cheap conditions that every text with a match fulfils.
 GUARDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9](?:[ -]?[0-9]){15}", "phone": "[+][0-9]"}
 BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TERM = r"\p{L}{3,}"
-#: A term is a disclosure if it gives away this share of an entity's information content, observed in so many different
-#: texts; from REMOVE on it is removed, below it is generalised.
-DISCLOSURE, SUPPORT, REMOVE = 0.8, 3, 0.95
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: A term is a disclosure if it gives away this share of an entity's information content; from REMOVE on it is removed,
+#: below it is generalised. PRIOR: with so many further texts, in which the entity is as frequent as anywhere, the
+#: entity's frequency beside a term is smoothed, so that the fewer texts hold a term, the less it says.
+DISCLOSURE, PRIOR, REMOVE = 0.8, 4, 0.95
 SPAN = "array<struct<kind:string,a:bigint,b:bigint,v:string>>"
 
 
@@ -75,89 +76,92 @@ def base_spans(text_col: str = "text") -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _entity(s: Column) -> Column:
-    value = F.when(s["kind"] == "email", F.lower(s["v"])).when(s["kind"] == "ip", s["v"]).otherwise(_digits(s["v"]))
-    return F.concat(s["kind"], F.lit(":"), value)
+def _entities(s: Column) -> Column:
+    """The value of a span, and the class that its value belongs to: mail domain, network, issuer, number prefix."""
+    kind, digits = s["kind"], _digits(s["v"])
+    value = F.when(kind == "email", F.lower(s["v"])).when(kind == "ip", s["v"]).otherwise(digits)
+    wide = (
+        F.when(kind == "email", F.regexp_extract(value, "@.*", 0)).when(kind == "ip", F.regexp_extract(value, r"^.*\.", 0))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit(" of "), wide))
+
+
+def _told(n_te: Column, n_t: Column, n_e: Column, n: float, prior: int) -> Column:
+    """Share of the entity's bits that the term gives away."""
+    beside = (n_te + prior * n_e / n) / (n_t + prior)
+    return F.log2(beside * n / n_e) / F.log2(n / n_e)
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str, share: float, support: int) -> DataFrame:
-    """(entity, term, share): terms that reveal an entity, from counts over all of ``docs``.
+def disclosures(spans: DataFrame, share: float, prior: int) -> DataFrame:
+    """(entity, term, share): terms that reveal an entity or its class, from counts over all rows of ``spans``.
 
-    With n documents, n_t of them with the term, n_e with the entity and n_te with both, the term gives away
-    log2(n_te n / (n_t n_e)) of the entity's log2(n / n_e) bits. Pairs seen in fewer than ``support`` different texts are no
-    evidence: copies of one text would make all its rare words telling. ``found``: rows with ``base`` spans and text.
+    With n documents, n_t of them with the term, n_e with the entity and n_te with both, the entity's frequency beside
+    the term is p = (n_te + prior n_e / n) / (n_t + prior), and the term gives away log2(p n / n_e) of the entity's
+    log2(n / n_e) bits. Pairs that cannot reach ``share`` with the largest n_te possible are left out before they are
+    counted. ``spans``: row, ``_text``, ``base``.
     """
-    n = docs.count()
-    text = F.col(text_col)
-    for kind in KINDS:
-        text = F.regexp_replace(text, PATTERNS[kind], " ")
-    rows = found.select(
-        "row", F.xxhash64(text_col).alias("text_hash"), F.array_distinct(_terms(text)).alias("terms"),
-        F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"),
-    )
-    entities = rows.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_e"), F.count_distinct("text_hash").alias("texts")
-    ).where(F.col("texts") >= support).select("entity", "n_e")
-    pairs = (
-        rows.join(entities, "entity").select("entity", "n_e", "text_hash", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_e", "term", "text_hash").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("entity", "n_e", "term").agg(F.sum("c").alias("n_te"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= support)
-    )
-    pairs = stored(pairs.select("entity", "n_e", "term", "n_te"), "pairs")
-    wanted = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(_terms(whole_text(text_col)))).alias("term"))
+    n = float(max(spans.count(), 2))
+    found = spans.where(F.size("base") > 0)
+    entities = found.select("row", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity"))
+    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    counted = stored(entities.join(n_e, "entity").where(F.col("n_e") < n), "entities")
+    most = counted.agg(F.max("n_e")).first()[0] or 1
+    words = spans.select(F.explode(_terms(F.col("_text"))).alias("term"))
     n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # combined before the shuffle: one row per word
-    # An inner join: Spark would move a semi join below the counting, where it meets every word of every text.
-    n_t = n_t.join(bounded(wanted, 64 * wanted.count()), "term")
-    bits = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    told = F.log2(F.col("n_te") * F.lit(float(max(n, 1))) / (F.col("n_t") * F.col("n_e")))
-    scored = pairs.join(n_t, "term").where(bits > 0).select("entity", "term", (told / bits).alias("share"))
+    # The bound grows with n_e, so the most frequent entity's one holds for every pair.
+    n_t = n_t.where(_told(F.least("n_t", F.lit(most)), F.col("n_t"), F.lit(most), n, prior) >= share - 1e-9)
+    free = _words(found).select("row", F.lower("v").alias("term")).distinct()
+    rare = stored(free.join(n_t, "term").select("row", "term", "n_t"), "rare")
+    possible = _told(F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), n, prior) >= share - 1e-9
+    pairs = counted.alias("e").join(rare.alias("t"), (F.col("e.row") == F.col("t.row")) & possible)
+    scored = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).select(
+        "entity", "term", _told(F.col("n_te"), F.col("n_t"), F.col("n_e"), n, prior).alias("share")
+    )
     return stored(scored.where(F.col("share") >= share), "disclosures")
 
 
-def _term_spans(found: DataFrame, telling: DataFrame, text_col: str) -> DataFrame:
-    """Per row the places, outside base spans, of the terms that reveal an entity of the same row, in order."""
-    mine = (
-        found.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-        .join(telling, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
-    )
-    rows = found.join(mine.select("row").distinct(), "row", "left_semi")
-    both = F.arrays_zip(F.split(text_col, TERM, -1).alias("gap"), F.regexp_extract_all(text_col, F.lit(TERM), F.lit(0)).alias("v"))
+def _words(rows: DataFrame) -> DataFrame:
+    """(row, a, b, v): the words of ``_text`` outside the base spans, with their places."""
+    both = F.arrays_zip(F.split("_text", TERM, -1).alias("gap"), F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)).alias("v"))
     words = rows.select("row", "base", F.posexplode(both).alias("i", "w")).select(
         "row", "base", "i", F.col("w.v").alias("v"), F.length("w.v").alias("n"),
         (F.length("w.gap") + F.coalesce(F.length("w.v"), F.lit(0))).alias("step"),
     )
     so_far = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     words = words.withColumn("b", F.sum("step").over(so_far)).withColumn("a", F.col("b") - F.col("n"))
-    words = words.where("v IS NOT NULL").withColumn("term", F.lower("v"))
     free = ~F.exists("base", lambda s: (s["a"] < F.col("b")) & (s["b"] > F.col("a")))
+    return words.where("v IS NOT NULL").where(free).select("row", "a", "b", "v")
+
+
+def _term_spans(spans: DataFrame, telling: DataFrame) -> DataFrame:
+    """Per row the places, outside base spans, of the terms that reveal an entity of the same row, in order."""
+    mine = (
+        spans.select("row", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity"))
+        .join(telling, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
+    )
+    words = _words(spans.join(mine.select("row").distinct(), "row", "left_semi")).withColumn("term", F.lower("v"))
     return (
-        words.join(mine, ["row", "term"]).where(free)
+        words.join(mine, ["row", "term"])
         .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "share"))).alias("told"))
     )
 
 
 def personal_spans(
-    docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", keep_text: bool = False,
-    share: float = DISCLOSURE, support: int = SUPPORT,
+    docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", share: float = DISCLOSURE, prior: int = PRIOR,
 ) -> DataFrame:
-    """``columns``, ``base`` (spans of the patterns) and ``told`` (spans of revealing terms: a, b, share) of every row.
+    """``columns``, ``_text``, ``base`` (spans of the patterns) and ``told`` (spans of revealing terms: a, b, share) of
+    every row.
 
-    With ``keep_text`` also the text. Rows are numbered when the patterns' matches are stored, so null and repeated ids
-    need no care. Null and empty texts have no span; a row without base spans has no other either. No rows in, none out.
+    Rows are numbered when the patterns' matches are stored, so null and repeated ids need no care. Null and empty texts
+    have no span; a row without base spans has no other either. No rows in, none out.
     """
-    text = whole_text(text_col)
-    spans = docs.select(*columns, text.alias("_text"), base_spans(text_col).alias("base"))
-    if not keep_text:
-        spans = spans.withColumn("_text", F.when(F.size("base") > 0, F.col("_text")))
+    spans = docs.select(*columns, whole_text(text_col).alias("_text"), base_spans(text_col).alias("base"))
     spans = stored(spans.withColumn("row", F.monotonically_increasing_id()), "spans")
-    found = spans.where(F.size("base") > 0)
-    telling = disclosures(found, docs.select(text.alias("_text")), "_text", share, support)
-    told = stored(_term_spans(found, telling, "_text"), "told")
+    told = stored(_term_spans(spans, disclosures(spans, share, prior)), "told")
     size = told.agg(F.coalesce(F.sum(40 + 32 * F.size("told")), F.lit(0))).first()[0]
     none = F.array().cast("array<struct<a:bigint,b:bigint,share:double>>")
     return spans.join(bounded(told, size), "row", "left").withColumn("told", F.coalesce("told", none)).drop("row")
@@ -185,7 +189,7 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     from ``REMOVE`` on, removed. Rows without personal data keep their text, null included."""
     others = [c for c in docs.columns if c != text_col]
     row = F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in others])
-    spans = personal_spans(docs.select(row.alias("_row"), text_col), ("_row",), text_col, keep_text=True)
+    spans = personal_spans(docs.select(row.alias("_row"), text_col), ("_row",), text_col)
     cut = "array<struct<a:bigint,b:bigint,tag:string>>"
     base = F.transform("base", lambda s: F.struct(s["a"], s["b"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag")))
     told = F.transform("told", lambda s: F.struct(s["a"], s["b"], F.when(s["share"] >= REMOVE, "").otherwise("[TERM]").alias("tag")))

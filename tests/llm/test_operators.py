@@ -431,3 +431,30 @@ def test_added_tokens_in_a_text_get_their_own_id(name):
     expected = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(expected[0]) == 4 - (name == token_store.TOKENIZER)
     assert [np.frombuffer(x, "<u4").tolist() for x in cached(name).encode(texts)] == expected
+
+
+def terms_told(df):
+    """Per id the words at the places of the listed terms."""
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
+    told = {}
+    for r in pii.pii_digest(df).collect():
+        places = [x.split(":")[1:] for x in r["spans"].split(",") if x.startswith("term:")]
+        told[r["doc_id"]] = [text[r["doc_id"]][int(a) : int(b)] for a, b in places]
+    return told
+
+
+def test_pii_terms_of_an_entity_in_a_single_text(spark):
+    """Names of any length and with digits beside an address that occurs once; words found everywhere stay."""
+    rows = [(0, "the Quillfeather of Xu and b72 to q@mail.example.org in a de la"), (1, "+1 (017) 555-7713 a Ñandú la")]
+    rows += [(10 + i, words(6) + " the of and to in a de la") for i in range(5000)]
+    told = terms_told(frame(spark, rows))
+    assert told.pop(0) == ["Quillfeather", "Xu", "b72"] and told.pop(1) == ["Ñandú"]
+    assert not any(told.values())
+
+
+def test_pii_terms_of_a_class(spark):
+    """Each address occurs once in few texts, but a word stands with all addresses of the domain."""
+    rows = [(i, f"{words(8)} Harrowgate{' ' * (i + 1)}user{i}@clinic.example.org the") for i in range(6)]
+    rows += [(10 + i, words(20) + " the") for i in range(200)]
+    told = terms_told(frame(spark, rows))
+    assert all(told[i] == ["Harrowgate"] for i in range(6)) and not any(told[i] for i, _ in rows[6:])

@@ -29,6 +29,7 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 #: entity's frequency beside a term is smoothed, so that the fewer texts hold a term, the less it says.
 DISCLOSURE, PRIOR, REMOVE = 0.8, 4, 0.95
 SPAN = "array<struct<kind:string,a:bigint,b:bigint,v:string>>"
+TOLD = "array<struct<a:bigint,b:bigint,share:double>>"
 
 
 def _digits(value: Column) -> Column:
@@ -137,17 +138,29 @@ def _words(rows: DataFrame) -> DataFrame:
     return words.where("v IS NOT NULL").where(free).select("row", "a", "b", "v")
 
 
-def _term_spans(spans: DataFrame, telling: DataFrame) -> DataFrame:
-    """Per row the places, outside base spans, of the terms that reveal an entity of the same row, in order."""
-    mine = (
-        spans.select("row", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity"))
-        .join(telling, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
-    )
-    words = _words(spans.join(mine.select("row").distinct(), "row", "left_semi")).withColumn("term", F.lower("v"))
-    return (
-        words.join(mine, ["row", "term"])
-        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "share"))).alias("told"))
-    )
+def _marks(spans: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, marks): the terms of a row that reveal any entity, with their largest share over the entities, whether or
+    not the row holds one of them: a term gives the entity away there as well."""
+    terms = stored(telling.groupBy("term").agg(F.max("share").alias("share")), "terms")
+    held = spans.select("row", F.explode(_terms(F.col("_text"))).alias("term"))
+    held = held.join(bounded(terms, 64 * terms.count()), "term")
+    return stored(held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marks")), "marks")
+
+
+def _marked(text: Column, marks: Column) -> Column:
+    """Places and shares of the words that ``marks`` holds, in order. One pass within the row, so no word is shuffled."""
+    both = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("v"))
+    none = F.array().cast(TOLD)
+
+    def step(acc: Column, w: Column) -> Column:
+        a = acc["at"] + F.length(w["gap"])
+        b = a + F.coalesce(F.length(w["v"]), F.lit(0))
+        share = F.try_element_at(marks, F.lower(w["v"]))
+        one = F.array(F.struct(a.alias("a"), b.alias("b"), share.alias("share"))).cast(TOLD)
+        return F.struct(b.alias("at"), F.when(share.isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    return F.aggregate(both, start, step, lambda acc: acc["out"])
 
 
 def personal_spans(
@@ -157,18 +170,25 @@ def personal_spans(
     every row.
 
     Rows are numbered when the patterns' matches are stored, so null and repeated ids need no care. Null and empty texts
-    have no span; a row without base spans has no other either. No rows in, none out.
+    have no span. No rows in, none out.
     """
     spans = docs.select(*columns, whole_text(text_col).alias("_text"), base_spans(text_col).alias("base"))
     spans = stored(spans.withColumn("row", F.monotonically_increasing_id()), "spans")
-    told = stored(_term_spans(spans, disclosures(spans, share, prior)), "told")
-    size = told.agg(F.coalesce(F.sum(40 + 32 * F.size("told")), F.lit(0))).first()[0]
-    none = F.array().cast("array<struct<a:bigint,b:bigint,share:double>>")
-    return spans.join(bounded(told, size), "row", "left").withColumn("told", F.coalesce("told", none)).drop("row")
+    marks = _marks(spans, disclosures(spans, share, prior))
+    def free(w: Column) -> Column:
+        return ~F.exists("base", lambda s: (s["a"] < w["b"]) & (s["b"] > w["a"]))
+
+    told = F.filter(_marked(F.col("_text"), F.col("marks")), free)
+    told = F.when(F.col("marks").isNotNull(), told).otherwise(F.array().cast(TOLD))
+    # About as many rows hold a term as not, so the sides are shuffled at any size.
+    return spans.join(marks, "row", "left").withColumn("told", told).drop("row", "marks")
+
 
+def _listed(spans: Column, kind: Column | None = None) -> Column:
+    def one(s: Column) -> Column:
+        return F.concat_ws(":", s["kind"] if kind is None else kind, s["a"].cast("string"), s["b"].cast("string"))
 
-def _listed(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+    return F.transform(spans, one)
 
 
 def pii_digest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -176,17 +196,16 @@ def pii_digest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_col
     spans = personal_spans(docs, columns, text_col)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    terms = F.transform("told", lambda s: F.concat_ws(":", F.lit("term"), s["a"].cast("string"), s["b"].cast("string")))
-    listed = _listed(F.col("base"))
+    base = _listed(F.col("base"))
     return spans.select(
-        *columns, *counts, F.sha2(listed, 256).alias("base_sha256"),
-        F.concat_ws(",", F.when(listed != "", listed), F.when(F.size("told") > 0, F.array_join(terms, ","))).alias("spans"),
+        *columns, *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, _listed(F.col("told"), F.lit("term"))), ",").alias("spans"),
     )
 
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced by its kind in brackets, and revealing terms generalised to ``[TERM]`` or,
-    from ``REMOVE`` on, removed. Rows without personal data keep their text, null included."""
+    from ``REMOVE`` on, removed. Rows without either keep their text, null included."""
     others = [c for c in docs.columns if c != text_col]
     row = F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in others])
     spans = personal_spans(docs.select(row.alias("_row"), text_col), ("_row",), text_col)
@@ -206,7 +225,7 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("base") > 0, F.aggregate(cuts, start, step, rest)).when(~F.col("_row._null"), text)
+    clean = F.when(~F.col("_row._null"), F.aggregate(cuts, start, step, rest))  # names cuts once: they are not stored
     return spans.select(*[clean.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
 
 

@@ -458,3 +458,14 @@ def test_pii_terms_of_a_class(spark):
     rows += [(10 + i, words(20) + " the") for i in range(200)]
     told = terms_told(frame(spark, rows))
     assert all(told[i] == ["Harrowgate"] for i in range(6)) and not any(told[i] for i, _ in rows[6:])
+
+
+def test_pii_terms_go_from_rows_without_the_entity_too(spark):
+    rows = [(i, f"{words(8)} Larkspurton writes to n{i % 2}@shire.example.org") for i in range(8)]
+    rows += [(8, f"{words(8)} larkspurton, LARKSPURTON"), (9, None)]
+    rows += [(10 + i, words(20)) for i in range(400)]
+    told = terms_told(frame(spark, rows))
+    assert all("Larkspurton" in told[i] for i in range(8)) and told[8] == ["larkspurton", "LARKSPURTON"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert not any("larkspurton" in (t or "").lower() for t in clean.values())
+    assert clean[8].startswith(rows[8][1].split(" larks")[0]) and clean[9] is None and clean[10] == rows[10][1]

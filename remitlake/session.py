@@ -17,15 +17,16 @@ SCALE_CONF = {
     # Joins whose build side is small per partition hash it instead of sorting both sides.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
-    # Column expressions then do not record the Python line they were written on.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Taken only when a session starts. Column expressions then do not record the Python line they were written on.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def set_scale_conf(spark: SparkSession) -> None:
-    """Put the settings above on a running session where its owner has not chosen a value."""
+    """Put the runtime settings on a running session where its owner has not chosen a value."""
     for key, value in SCALE_CONF.items():
-        if spark.conf.get(key, None) is None:
+        if spark.conf.get(key, None) is None and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
 
 
@@ -41,7 +42,7 @@ def local_session(cores: int | None = None, app: str = "remitlake", **conf: str)
         .config("spark.checkpoint.dir", os.environ.get("REMITLAKE_CHECKPOINTS", "/tmp/remitlake-checkpoints"))
         .config("spark.sql.warehouse.dir", os.environ.get("REMITLAKE_WAREHOUSE", "/tmp/remitlake-warehouse"))
     )
-    for key, value in {**SCALE_CONF, **conf}.items():
+    for key, value in {**STATIC_CONF, **SCALE_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

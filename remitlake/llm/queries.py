@@ -8,6 +8,7 @@ from .mtree import OP1_SQL, op1
 from .packing import op9
 from .pii import op3
 from .quality import op5
+from .simhash import op13
 from .substring_dedup import op10
 from .suffix_dedup import op8
 from .token_store import op4
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_array": op8,
     "op9_packing": op9,
     "op10_substring_dedup": op10,
+    "op13_simhash": op13,
 }
 
 ORACLES = {"op1_mtree_topk": OP1_SQL, "op6_url_filter": op6_sql()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11
 from .byte_bpe import op2
 from .minhash import op7
 from .mtree import OP1_SQL, op1
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_array": op8,
     "op9_packing": op9,
     "op10_substring_dedup": op10,
+    "op11_cross_tokenizer": op11,
     "op13_simhash": op13,
 }
 

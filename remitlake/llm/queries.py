@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op11
 from .byte_bpe import op2
+from .conversations import op12
 from .minhash import op7
 from .mtree import OP1_SQL, op1
 from .packing import op9
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9,
     "op10_substring_dedup": op10,
     "op11_cross_tokenizer": op11,
+    "op12_conversations": op12,
     "op13_simhash": op13,
 }
 

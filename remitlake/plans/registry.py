@@ -279,12 +279,22 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def _through_files(table: str) -> Query:
+#: Text columns that get a line break, quotes and a comma before they are written, and are read back so.
+BROKEN_TEXTS = {
+    "payers": "payer_name", "providers": "provider_name", "charges": "cpt_description", "claims": "submission_method",
+    "denials": "denial_reason_description",
+}
+
+
+def _through_files(table: str, broken: str | None = None) -> Query:
     """The table written as raw CSV files, loaded into the raw layer and typed from there."""
 
     def run(spark: SparkSession, root: str) -> DataFrame:
         folder = _scratch(spark)
-        export.write_csv(star_raw(star_silver(spark, root), table), f"{folder}/stage/{table}.csv")
+        raw = star_raw(star_silver(spark, root), table)
+        if broken:
+            raw = raw.withColumn(broken, F.concat(broken, F.lit('\n"'), broken, F.lit('", x')))
+        export.write_csv(raw, f"{folder}/stage/{table}.csv")
         ingest.load_raw(spark, f"{folder}/stage", f"{folder}/bronze", [table])
         typed = ingest.to_typed(spark.read.parquet(f"{folder}/bronze/{table}"), table)
         return _rounded(typed, MORE_DIGITS.get(f"etl_{table}", DIGITS))
@@ -403,6 +413,7 @@ def _etl_queries() -> dict[str, Query]:
         for t in TABLES
     }
     out |= {f"etl_files_{t}": _through_files(t) for t in TABLES}
+    out |= {f"etl_broken_lines_{t}": _through_files(t, column) for t, column in BROKEN_TEXTS.items()}
     out["etl_load_log"] = _query(
         lambda s: _as_text(ingest.load_log_rows(s, F.lit(AS_OF_TIME).cast("timestamp_ntz")), "last_loaded_at")
     )
@@ -428,6 +439,10 @@ def all_oracles() -> dict[str, str]:
         found
         | {f"etl_pipeline_{t}": found[f"etl_{t}"] for t in TABLES}
         | {"etl_pipeline_log": counts}
+        | {
+            f"etl_broken_lines_{t}": f"SELECT * REPLACE ({c} || chr(10) || '\"' || {c} || '\", x' AS {c}) FROM ({found[f'etl_{t}']})"
+            for t, c in BROKEN_TEXTS.items()
+        }
         | {f"lake_{name}": found[name] for name in STORED}
         | {_export_name(*key): found[name] for key, name in EXPORTS.items()}
         | loader_statements(MORE_DIGITS)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from remitlake.sources.records import drop_folder, records, stored_lines, work_folder
 from remitlake.sources.schemas import KEYS, TABLES, raw_schema
 from remitlake.sources.silver import Silver
 
@@ -18,27 +19,27 @@ TRUE_TEXTS = ("TRUE", "1", "YES")
 
 # ---------------------------------------------------------------- raw layer
 
+CSV_OPTIONS = {
+    "sep": ",", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+    "mode": "PERMISSIVE",
+}
+
+
 def read_csv(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
-    """Read one raw file by column position.
+    """Read one raw file by column position, with Spark's own reader.
 
-    The header names are ignored, short rows are padded with NULL and surplus fields
-    dropped. ``multi_line`` allows line breaks inside quotes, but then one file is one
-    task; leave it off for large files so that they are split.
+    The header names are ignored, short rows are padded with NULL and surplus fields dropped. With ``multi_line`` line
+    breaks may stand inside quotes, and one file is one task; without, every line is a record.
     """
-    text = (
-        spark.read.schema(raw_schema(table))
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    return null_texts(text)
+    reader = spark.read.schema(raw_schema(table)).options(**CSV_OPTIONS)
+    return null_texts(reader.options(header=True, enforceSchema=True, multiLine=multi_line).csv(path))
+
+
+def parsed(lines: DataFrame, table: str, scratch: str) -> DataFrame:
+    """The raw rows of stored lines, as ``read_csv`` with ``multi_line`` reads them, but in as many tasks as there are splits."""
+    names = ", ".join(f"`{c}` string" for c, _ in TABLES[table])
+    row = F.from_csv("value", names, CSV_OPTIONS)
+    return null_texts(records(lines, scratch).select(row.alias("row")).select("row.*"))
 
 
 def null_texts(df: DataFrame) -> DataFrame:
@@ -48,27 +49,19 @@ def null_texts(df: DataFrame) -> DataFrame:
     ])
 
 
-def broken_lines(spark: SparkSession, path: str) -> int:
-    """Lines of a raw file that end inside a quoted field."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return spark.read.text(path).filter(quotes % 2 == 1).count()
-
-
-def load_raw(
-    spark: SparkSession, source: str, target: str, tables: list[str] | None = None, multi_line: bool = False
-) -> None:
+def load_raw(spark: SparkSession, source: str, target: str, tables: list[str] | None = None) -> None:
     """Full reload of ``source/<table>.csv`` into ``target/<table>``, stamped with the load time.
 
-    Without ``multi_line`` files are split by lines, so a file with a line break inside a quoted field is refused
-    before anything of it is written.
+    Files are read once and split by size; line breaks inside quoted fields are allowed. A file that ends inside a quoted
+    field is refused before anything of it is written. The lines lie below ``target`` until the table is written.
     """
     for table in tables or TABLES:
-        path = f"{source}/{table}.csv"
-        broken = 0 if multi_line else broken_lines(spark, path)
-        if broken:
-            raise ValueError(f"{path}: {broken} lines end inside a quoted field; load it with multi_line=True")
-        frame = read_csv(spark, path, table, multi_line)
-        frame.withColumn("_loaded_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/{table}")
+        scratch = work_folder(target)
+        try:
+            frame = parsed(stored_lines(spark, f"{source}/{table}.csv", scratch), table, scratch)
+            frame.withColumn("_loaded_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/{table}")
+        finally:
+            drop_folder(spark, scratch)
 
 
 def read_raw(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -177,11 +170,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path).select("domain", "last_loaded_at", "row_count", "source_file")
 
 
-def run_pipeline(
-    spark: SparkSession, source: str, target: str, clustered: bool = True, multi_line: bool = False
-) -> Silver:
+def run_pipeline(spark: SparkSession, source: str, target: str, clustered: bool = True) -> Silver:
     """Raw files to raw layer to typed layer to load log, in that order."""
-    load_raw(spark, source, f"{target}/bronze", multi_line=multi_line)
+    load_raw(spark, source, f"{target}/bronze")
     write_typed(typed_silver(read_raw(spark, f"{target}/bronze")), f"{target}/silver", clustered)
     silver = Silver.from_parquet(spark, f"{target}/silver")
     upsert_log(load_log_rows(silver), f"{target}/metadata/pipeline_runs")

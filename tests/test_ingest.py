@@ -148,18 +148,3 @@ def test_incremental_load_takes_every_file_once(spark, folder):
 def test_silver_from_parquet_reads_only_used_tables(spark, make_silver, folder):
     make_silver(claims=[claim(1)]).claims.write.parquet(f"{folder}/claims")
     assert Silver.from_parquet(spark, folder).claims.count() == 1
-
-
-def test_line_breaks_in_quotes_are_read_or_refused(spark, folder):
-    """One payer with a line break in its name: one row with ``multi_line``, else an error and nothing written."""
-    os.makedirs(f"{folder}/stage")
-    names = [c for c, _ in TABLES["payers"]]
-    with open(f"{folder}/stage/payers.csv", "w") as f:
-        f.write(",".join(names) + "\n")
-        f.write(",".join(["P1", '"North\nSouth"', *["x"] * (len(names) - 2)]) + "\n")
-    with pytest.raises(ValueError, match="quoted"):
-        ingest.load_raw(spark, f"{folder}/stage", f"{folder}/bronze", ["payers"])
-    assert not os.path.exists(f"{folder}/bronze/payers")
-    ingest.load_raw(spark, f"{folder}/stage", f"{folder}/bronze", ["payers"], multi_line=True)
-    rows = spark.read.parquet(f"{folder}/bronze/payers").collect()
-    assert [(r[0], r[1]) for r in rows] == [("P1", "North\nSouth")]

@@ -1,85 +1,129 @@
 """Metrics x dimensions x filters over the declared joins.
 
-The model is data: aggregate expressions per table, many-to-one joins, time dimensions.
-Joins run from the table of a metric outward, so grouping a fact never multiplies it.
+The model is data: additive parts of metrics per table, many-to-one joins, time dimensions. Joins run from the table of a
+metric outward, so grouping a fact never multiplies it. Parts are summed per foreign key before every join, so the rows
+that meet a looked-up table are one per key, however many rows a key has; distinct counts keep the counted key.
 Metrics of several tables are aggregated table by table and then aligned on the dimensions.
 """
 
 from __future__ import annotations
 
 import re
-
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlake.functions.columns import count_when, days_between, denied_or_appealed, iso_date, ratio
+from remitlake.functions.columns import days_between, denied_or_appealed, iso_date, ratio
 from remitlake.operators.ledger import is_open, with_payments
 from remitlake.sources.schemas import TABLES
 from remitlake.sources.silver import Silver
 
 
-def _rows() -> Column:
-    return F.count(F.lit(1))
+@dataclass(frozen=True)
+class Part:
+    """A number that is added up over rows: the values of an expression, or how many of them there are."""
+
+    value: Callable[[], Column]
+    counts: bool = False
+
+    def of_rows(self) -> Column:
+        return F.count(self.value()) if self.counts else F.sum(self.value())
+
+    def of_sums(self, name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)) if self.counts else F.sum(name)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """Parts and what is computed from their totals; or a column whose distinct values are counted."""
+
+    parts: tuple[Part, ...] = ()
+    final: Callable[..., Column] = lambda total: total
+    distinct: str | None = None
+
+
+def _value(column: str) -> Part:
+    return Part(lambda: F.col(column))
+
+
+def _count_of(column: str) -> Part:
+    return Part(lambda: F.col(column), True)
+
+
+def _rows_where(condition: Callable[[], Column]) -> Part:
+    return Part(lambda: F.when(condition(), F.lit(1)), True)
+
+
+_ROWS = Part(lambda: F.lit(1), True)
 
 
-def _percent(part: Column, whole: Column) -> Column:
-    return ratio(part * 100.0, whole)
+def _sum(part: Part) -> Metric:
+    return Metric((part,))
+
+
+def _percent(part: Part, whole: Part) -> Metric:
+    return Metric((part, whole), lambda p, w: ratio(p * 100.0, w))
+
+
+def _mean(value: Callable[[], Column]) -> Metric:
+    return Metric((Part(value), Part(value, True)), ratio)
 
 
 def _is(column: str, value: str) -> Column:
     return F.col(column) == value
 
 
-def _sum_of(column: str, code: str) -> Column:
-    return F.sum(F.when(_is("adjustment_type_code", code), F.col(column)).otherwise(0.0))
+def _sum_of(column: str, code: str) -> Metric:
+    return _sum(Part(lambda: F.when(_is("adjustment_type_code", code), F.col(column)).otherwise(0.0)))
 
 
 def _short() -> Column:
     return F.col("payment_amount") < F.col("allowed_amount")
 
 
-# Metrics per table. Functions, because columns can only be built with a session.
+# Metrics per table. Functions inside, because columns can only be built with a session.
 METRICS = {
     "claims": {
-        "total_claims": lambda: F.countDistinct("claim_id"),
-        "total_charges": lambda: F.sum("total_charge_amount"),
-        "denied_count": lambda: count_when(denied_or_appealed()),
-        "clean_count": lambda: F.sum("is_clean_claim"),
-        "denial_rate": lambda: _percent(count_when(denied_or_appealed()), F.count("claim_id")),
-        "clean_claim_rate": lambda: _percent(F.sum("is_clean_claim"), F.count("claim_id")),
-        "avg_charge_lag": lambda: F.avg(days_between("date_of_service", "submission_date")),
+        "total_claims": Metric(distinct="claim_id"),
+        "total_charges": _sum(_value("total_charge_amount")),
+        "denied_count": _sum(_rows_where(denied_or_appealed)),
+        "clean_count": _sum(_value("is_clean_claim")),
+        "denial_rate": _percent(_rows_where(denied_or_appealed), _count_of("claim_id")),
+        "clean_claim_rate": _percent(_value("is_clean_claim"), _count_of("claim_id")),
+        "avg_charge_lag": _mean(lambda: days_between("date_of_service", "submission_date")),
     },
     "payments": {
-        "total_payments": lambda: F.sum("payment_amount"),
-        "total_allowed": lambda: F.sum("allowed_amount"),
-        "payment_accuracy_rate": lambda: _percent(F.sum("is_accurate_payment"), _rows()),
-        "total_underpaid": lambda: F.sum(
-            F.when(_short(), F.col("allowed_amount") - F.col("payment_amount")).otherwise(0.0)
+        "total_payments": _sum(_value("payment_amount")),
+        "total_allowed": _sum(_value("allowed_amount")),
+        "payment_accuracy_rate": _percent(_value("is_accurate_payment"), _ROWS),
+        "total_underpaid": _sum(
+            Part(lambda: F.when(_short(), F.col("allowed_amount") - F.col("payment_amount")).otherwise(0.0))
         ),
-        "underpayment_rate": lambda: _percent(count_when(_short()), _rows()),
+        "underpayment_rate": _percent(_rows_where(_short), _ROWS),
     },
     "denials": {
-        "total_denials": _rows,
-        "total_denied": lambda: F.sum("denied_amount"),
-        "total_recovered": lambda: F.sum("recovered_amount"),
-        "appeal_success_rate": lambda: _percent(
-            count_when(_is("appeal_status", "Won")), count_when(F.col("appeal_status") != "Not Appealed")
+        "total_denials": _sum(_ROWS),
+        "total_denied": _sum(_value("denied_amount")),
+        "total_recovered": _sum(_value("recovered_amount")),
+        "appeal_success_rate": _percent(
+            _rows_where(lambda: _is("appeal_status", "Won")), _rows_where(lambda: F.col("appeal_status") != "Not Appealed")
         ),
     },
     "charges": {
-        "total_charge_amount": lambda: F.sum("charge_amount"),
-        "total_units": lambda: F.sum("units"),
-        "charge_line_count": _rows,
+        "total_charge_amount": _sum(_value("charge_amount")),
+        "total_units": _sum(_value("units")),
+        "charge_line_count": _sum(_ROWS),
     },
     "adjustments": {
-        "total_adjustments": lambda: F.sum("adjustment_amount"),
-        "bad_debt_total": lambda: _sum_of("adjustment_amount", "WRITEOFF"),
-        "contractual_total": lambda: _sum_of("adjustment_amount", "CONTRACTUAL"),
+        "total_adjustments": _sum(_value("adjustment_amount")),
+        "bad_debt_total": _sum_of("adjustment_amount", "WRITEOFF"),
+        "contractual_total": _sum_of("adjustment_amount", "CONTRACTUAL"),
     },
-    "operating_costs": {"total_rcm_cost": lambda: F.sum("total_rcm_cost")},
-    "encounters": {"total_encounters": lambda: F.countDistinct("encounter_id")},
+    "operating_costs": {"total_rcm_cost": _sum(_value("total_rcm_cost"))},
+    "encounters": {"total_encounters": Metric(distinct="encounter_id")},
 }
 
 # Numeric columns that can be summed as they are.
@@ -154,34 +198,21 @@ class Dimension:
         self.via = via or None
         self.alias = alias or (f"{self.column}_{self.grain}" if self.grain else self.column)
 
-    def expression(self, prefix: str) -> Column:
-        source = TIME_DIMENSIONS.get(self.table, {}).get(self.column)
-        c = iso_date(f"{prefix}{source}") if source else F.col(f"{prefix}{self.column}")
+    @property
+    def source(self) -> str:
+        """The column that is read for it."""
+        return TIME_DIMENSIONS.get(self.table, {}).get(self.column, self.column)
+
+    def expression(self, column: str) -> Column:
+        """Its value from the column ``column``, which holds the source."""
+        timed = self.source != self.column
+        c = iso_date(column) if timed else F.col(column)
         if not self.grain:
             return c
-        day = c if source else iso_date(c)
+        day = c if timed else iso_date(c)
         return F.date_format(day, {"month": "yyyy-MM", "year": "yyyy", "day": "yyyy-MM-dd"}[self.grain])
 
 
-def _joined(silver: Silver, base: str, wanted: list[Dimension]) -> DataFrame:
-    """The base table with the columns of every wanted table, prefixed by its path."""
-    frame, done = getattr(silver, base), {(): ""}
-    for d in wanted:
-        path = join_path(base, d.table, d.via)
-        for depth in range(1, len(path) + 1):
-            key = tuple(r[0] for r in path[:depth])
-            if key in done:
-                continue
-            _, _, right, left_column, right_column = path[depth - 1]
-            prefix = "__".join(key) + "__"
-            other = getattr(silver, right).select(*[F.col(c).alias(prefix + c) for c, _ in TABLES[right]])
-            left_key = done[key[:-1]] + left_column
-            frame = frame.join(other, F.col(left_key) == F.col(prefix + right_column), "left")
-            done[key] = prefix
-        d.prefix = done[tuple(r[0] for r in path)]
-    return frame
-
-
 ISO_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 _COMPARE = {
@@ -194,21 +225,88 @@ _COMPARE = {
 }
 
 
+def _filtered(frame: DataFrame, d: Dimension, op: str, value: object, column: str) -> DataFrame:
+    days = all(ISO_DATE.fullmatch(str(v)) for v in (value if isinstance(value, list) else [value]))
+    if d.source != d.column and not d.grain and days:
+        # Days compare like their ISO text; stated on the text too, the condition reaches the scan.
+        frame = frame.filter(_COMPARE[op](F.col(column), value))
+    return frame.filter(_COMPARE[op](d.expression(column), value))
+
+
+class Plan:
+    """Metrics of one table over the chains of joins that its dimensions and filters need.
+
+    A stop is a chain of relationships from the table; stop ``()`` is the table itself. A joined table brings its columns
+    under the name of its stop, and only those that a dimension, a filter or a further join needs.
+    """
+
+    def __init__(self, base: str, names: list[str], by: list[str], where: list[tuple]) -> None:
+        self.base = base
+        self.metrics = {n: METRICS[base].get(n) or _sum(_value(n)) for n in names}
+        self.dims = [(d, join_path(base, d.table, d.via)) for d in map(Dimension, by)]
+        self.where = [(d, op, v, join_path(base, d.table, d.via)) for d, op, v in ((Dimension(t), op, v) for t, op, v in where)]
+        chains = [path for _, path in self.dims] + [w[-1] for w in self.where]
+        stops = {tuple(r[0] for r in path[:i]): path[i - 1] for path in chains for i in range(1, len(path) + 1)}
+        self.joins = dict(sorted(stops.items(), key=lambda x: len(x[0])))  # nearer tables first
+        self.parts = {f"_{n}_{i}": p for n, m in self.metrics.items() for i, p in enumerate(m.parts)}
+        self.distinct = sorted({m.distinct for m in self.metrics.values() if m.distinct})
+
+    @staticmethod
+    def name(stop: tuple[str, ...], column: str) -> str:
+        return "__".join((*stop, column))
+
+    def needed(self, stop: tuple[str, ...]) -> list[str]:
+        """Columns of a stop's table that something needs after it is joined."""
+        key = lambda path: tuple(r[0] for r in path)
+        own = [d.source for d, path in self.dims if key(path) == stop]
+        own += [d.source for d, _, _, path in self.where if key(path) == stop]
+        own += [r[3] for s, r in self.joins.items() if s[:-1] == stop]
+        return list(dict.fromkeys(own))
+
+    def tested(self, frame: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+        for d, op, value, path in self.where:
+            if tuple(r[0] for r in path) == stop:
+                frame = _filtered(frame, d, op, value, self.name(stop, d.source))
+        return frame
+
+    def kept(self, joined: list[tuple[str, ...]]) -> list[str]:
+        """Columns that dimensions and joins still need when these stops are joined."""
+        keys = [self.name(s[:-1], r[3]) for s, r in self.joins.items() if s not in joined and s[:-1] in joined]
+        shown = [self.name(p, d.source) for d, p in ((d, tuple(r[0] for r in path)) for d, path in self.dims) if p in joined]
+        return list(dict.fromkeys([*keys, *shown]))
+
+    def run(self, silver: Silver) -> DataFrame:
+        frame = self.tested(getattr(silver, self.base), ())
+        if not self.joins:
+            return self.result(frame, lambda name: self.parts[name].of_rows())
+        # A distinct count's column and a key of the same name are one column.
+        keys = dict.fromkeys([*self.kept([()]), *self.distinct])
+        summed = [p.of_rows().alias(n) for n, p in self.parts.items()] or [F.count(F.lit(1)).alias("_rows")]
+        frame = frame.groupBy(*keys).agg(*summed)
+        joined: list[tuple[str, ...]] = [()]
+        for stop, (_, _, right, left_column, right_column) in self.joins.items():
+            key = self.name((*stop, "key"), right_column)
+            columns = [F.col(c).alias(self.name(stop, c)) for c in self.needed(stop)]
+            other = getattr(silver, right).select(F.col(right_column).alias(key), *columns)
+            left_key = self.name(stop[:-1], left_column)
+            frame = self.tested(frame.join(other, F.col(left_key) == F.col(key), "left").drop(key), stop)
+            joined.append(stop)
+            if len(joined) <= len(self.joins):  # fewer rows for the next table
+                again = [p.of_sums(n).alias(n) for n, p in self.parts.items()] or [F.sum("_rows").alias("_rows")]
+                frame = frame.groupBy(*dict.fromkeys([*self.kept(joined), *self.distinct])).agg(*again)
+        return self.result(frame, lambda name: self.parts[name].of_sums(name))
+
+    def result(self, frame: DataFrame, total: Callable[[str], Column]) -> DataFrame:
+        dims = [d.expression(self.name(tuple(r[0] for r in path), d.source)).alias(d.alias) for d, path in self.dims]
+        aggregates = []
+        for n, m in self.metrics.items():
+            value = F.countDistinct(m.distinct) if m.distinct else m.final(*[total(f"_{n}_{i}") for i in range(len(m.parts))])
+            aggregates.append(value.alias(n))
+        return (frame.groupBy(*dims) if dims else frame).agg(*aggregates)
+
+
 def _aggregate(silver: Silver, base: str, names: list[str], by: list[str], where: list[tuple]) -> DataFrame:
-    dims = [Dimension(d) for d in by]
-    conditions = [(Dimension(d), op, value) for d, op, value in where]
-    frame = _joined(silver, base, dims + [d for d, _, _ in conditions])
-    for d, op, value in conditions:
-        source = TIME_DIMENSIONS.get(d.table, {}).get(d.column)
-        if source and not d.grain and all(ISO_DATE.fullmatch(str(v)) for v in (value if isinstance(value, list) else [value])):
-            # Days compare like their ISO text; stated on the text too, the condition reaches the scan.
-            frame = frame.filter(_COMPARE[op](F.col(f"{d.prefix}{source}"), value))
-        frame = frame.filter(_COMPARE[op](d.expression(d.prefix), value))
-    aggregates = [
-        (METRICS[base][n]() if n in METRICS[base] else F.sum(n)).alias(n) for n in names
-    ]
-    grouped = frame.groupBy(*[d.expression(d.prefix).alias(d.alias) for d in dims]) if dims else frame
-    return grouped.agg(*aggregates)
+    return Plan(base, names, by, where).run(silver)
 
 
 def metric_query(

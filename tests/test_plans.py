@@ -176,3 +176,50 @@ def test_date_ranges_reach_the_scan(spark, folder, make_silver):
     for frame in (scope.claims, scope.encounters, query):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(date_of_service," in plan, plan
+
+
+def test_metrics_are_summed_per_key_before_every_join(spark, make_silver):
+    """One payer owns a third of the claims: what meets a looked-up table is one row per key, not one per claim."""
+    from remitlake.operators import semantic
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        claims = spark.range(0, 30_000, 1, 6).selectExpr(
+            "cast(id as string) claim_id", "concat('e', id % 7) encounter_id", "'p' patient_id",
+            "if(id % 3 = 0, 'A', concat('B', id % 50)) payer_id", "'2024-01-10' date_of_service", "'2024-01-20' submission_date",
+            "1.0D total_charge_amount", "if(id % 4 = 0, 'Denied', 'Paid') claim_status", "1 is_clean_claim",
+            "'Electronic' submission_method", "cast(null as string) fail_reason",
+        )
+        payers = spark.sql("select concat('B', id) payer_id, concat('name', id % 5) payer_name, 'x' payer_type, 1.0D avg_reimbursement_pct, 'k' contract_id from range(50)")
+        silver = make_silver().with_tables(claims=claims, payers=payers)
+        names = ["claims.total_charges", "claims.denial_rate", "claims.avg_charge_lag"]
+        query = semantic.metric_query(silver, names, ["payers.payer_name", "encounters.department"])
+        left = re.findall(r"Join LeftOuter[^\n]*\n[ :]*[:+]- (\w+)", query._jdf.queryExecution().optimizedPlan().toString())
+        assert left == ["Aggregate", "Aggregate"]
+        found = {r.payer_name: r for r in query.collect()}
+        assert found[None].total_charges == 10_000.0 and sum(r.total_charges for r in found.values()) == 30_000.0
+        assert found[None].denial_rate == 25.0 and {r.avg_charge_lag for r in found.values()} == {10.0}
+        joined = re.search(r"SortMergeJoin", plan(query))
+        assert joined or "ShuffledHashJoin" in plan(query)
+        # Rows that reach the first join: (payer, encounter) pairs instead of claims.
+        pairs = claims.select("payer_id", "encounter_id").distinct().count()
+        shuffled = [int(m.apply("recordsRead").value()) for m in _metrics(query) if m.contains("recordsRead")]
+        assert pairs < 1000 and max(shuffled) <= 6 * pairs
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def _metrics(df):
+    """Metric maps of all nodes of the executed plan, inside finished stages as well."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        out.append(node.metrics())
+        if "AdaptiveSparkPlanExec" in node.getClass().getName():
+            todo.append(node.executedPlan())
+        elif "QueryStageExec" in node.getClass().getName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out

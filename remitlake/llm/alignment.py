@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded, stored
-from .tokenizer_cache import CACHE, TokenizerCache
+from .tokenizer_cache import TokenizerCache
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text whose documents advance together.
-TOGETHER = 8 << 20
+#: Bytes of text whose documents advance together, and cached words per tokenizer and Python worker.
+TOGETHER, CACHE = 2 << 20, 300_000
 _MARK = "▁"  # stands for a space in pieces
 
 
@@ -47,6 +47,8 @@ class ByteTokens:
                 self.bytes[i] = bytes(value[c] for c in token)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.cache.known) > CACHE:
+            self.cache.known.clear()
         return [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in self.cache.encode([" " + t for t in texts])]
 
 
@@ -119,7 +121,7 @@ def lockstep(a_ends: np.ndarray, a_first: np.ndarray, b_ends: np.ndarray, b_firs
     ``*_ends``: byte ends of all documents' tokens, one document after the other; ``*_first``: place of each document's
     first token, and the total. The two sequences of a document end at the same byte.
     """
-    link = np.full(len(a_ends), -1, dtype=np.int64)
+    link = np.full(len(a_ends), -1, dtype=np.int32)
     at_a, at_b, stop = a_first[:-1].copy(), b_first[:-1].copy(), a_first[1:]
     going = at_a < stop
     at_a, at_b, stop = at_a[going], at_b[going], stop[going]
@@ -138,9 +140,10 @@ def lockstep(a_ends: np.ndarray, a_first: np.ndarray, b_ends: np.ndarray, b_firs
 def _flat(found: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids, where each document's begin, and the byte ends within each document."""
     ids = np.concatenate([*found, np.empty(0, dtype=np.int32)])
-    first = np.r_[0, np.cumsum([len(x) for x in found], dtype=np.int64)]
-    total = np.r_[0, np.cumsum(lengths[ids], dtype=np.int64)]
-    return ids, first, total[1:] - np.repeat(total[first[:-1]], np.diff(first))
+    first = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    total = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(lengths[ids], out=total[1:])
+    return ids, first, (total[1:] - np.repeat(total[first[:-1]], np.diff(first))).astype(np.int32)
 
 
 class Aligner:
@@ -148,7 +151,7 @@ class Aligner:
 
     def __init__(self, a_name: str, b_name: str) -> None:
         self.a, self.b = tokens(a_name), tokens(b_name)
-        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (self.a, self.b))
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t.bytes], dtype=np.int32) for t in (self.a, self.b))
         self._names: list[str] = []
 
     def ids(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -186,16 +189,16 @@ class Aligner:
 
     def group_texts(self, a_ids, a_first, b_ids, b_first, link) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each document."""
-        cut_a = np.flatnonzero(link >= 0)
+        cut_a = np.flatnonzero(link >= 0).astype(np.int32)
         cut_b = link[cut_a]
-        shut_a, shut_b = np.zeros(len(a_ids), dtype=np.int64), np.zeros(len(b_ids), dtype=np.int64)
+        shut_a, shut_b = np.zeros(len(a_ids), dtype=np.int32), np.zeros(len(b_ids), dtype=np.int32)
         shut_a[cut_a] = shut_b[cut_b] = 1
-        sequence = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
+        sequence = np.empty(len(a_ids) + len(b_ids), dtype=np.int32)
         # A token follows the B tokens of all groups before its own, a B token the A tokens up to its own group's.
-        before_a = np.r_[0, cut_b + 1][np.cumsum(shut_a) - shut_a]
-        before_b = np.r_[cut_a + 1, len(a_ids)][np.cumsum(shut_b) - shut_b]
-        sequence[np.arange(len(a_ids)) + before_a] = 2 * a_ids.astype(np.int64) + shut_a
-        sequence[np.arange(len(b_ids)) + before_b] = 2 * (len(self.a.bytes) + b_ids.astype(np.int64)) + shut_b
+        before = np.concatenate([[0], cut_b + 1])[np.cumsum(shut_a) - shut_a]
+        sequence[np.arange(len(a_ids)) + before] = 2 * a_ids + shut_a
+        before = np.concatenate([cut_a + 1, [len(a_ids)]])[np.cumsum(shut_b) - shut_b]
+        sequence[np.arange(len(b_ids)) + before] = 2 * (len(self.a.bytes) + b_ids) + shut_b
         names, first = self.names(), (a_first + b_first).tolist()
         return ["".join(map(names.__getitem__, sequence[lo:hi].tolist()))[:-1] for lo, hi in zip(first, first[1:])]
 

@@ -1,8 +1,10 @@
 """Data-quality checks, described as data and compiled to one pass per table.
 
 Row rules (emptiness, ranges, allowed values, NULL keys) of a table are aggregates of the
-same scan. A reference check first counts the child rows per key value, then drops the
-values the parent has; a key that a third of the rows share is one row by then.
+same scan. References are checked together: every table is read once and names the keys it
+owns and the keys it refers to, and one grouping by key counts the references to keys that
+nobody owns. The counts combine map-side, so a key that a third of the rows share is a few
+rows by then.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitlake.functions.columns import count_when
+from remitlake.functions.columns import count_when, total
 from remitlake.functions.fixed_values import CLAIM_STATUSES
 from remitlake.sources.schemas import KEYS
 from remitlake.sources.silver import Silver
@@ -56,14 +58,10 @@ class Reference:
     message: str = ""
     exempt: tuple = ()
 
-    def failures(self, silver: Silver) -> DataFrame:
-        child = getattr(silver, self.table)
-        if self.exempt:
-            child = child.filter(F.col(self.column).isNull() | ~F.col(self.column).isin(*self.exempt))
-        key = KEYS[self.parent]
-        values = child.groupBy(F.col(self.column).alias(key)).agg(F.count(F.lit(1)).alias("n"))
-        orphans = values.join(getattr(silver, self.parent).select(key), key, "left_anti")
-        return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"))
+    def counted(self) -> Column:
+        """Whether a row is checked: not if it holds an exempt value."""
+        c = F.col(self.column)
+        return c.isNull() | ~c.isin(*self.exempt) if self.exempt else F.lit(True)
 
 
 # Check names (also shown as the failing "table") and the messages of failed checks.
@@ -129,7 +127,11 @@ def _finish(counts: DataFrame) -> DataFrame:
 
 def _row_results(silver: Silver, table: str, rules: list[RowRule]) -> DataFrame:
     """All rules of one table from one scan, one row each."""
-    wide = getattr(silver, table).agg(*[r.failures().alias(f"f{i}") for i, r in enumerate(rules)])
+    return _as_rows(getattr(silver, table).agg(*[r.failures().alias(f"f{i}") for i, r in enumerate(rules)]), rules)
+
+
+def _as_rows(wide: DataFrame, rules: list[RowRule] | list[Reference]) -> DataFrame:
+    """The columns ``f0``, ``f1``, ... as one row per rule."""
     rows = F.array(*[
         F.struct(
             F.lit(r.name).alias("check"), F.lit(r.table).alias("table"), F.col(f"f{i}").alias("failures"),
@@ -140,10 +142,35 @@ def _row_results(silver: Silver, table: str, rules: list[RowRule]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def _reference_result(silver: Silver, r: Reference) -> DataFrame:
-    return r.failures(silver).select(
-        F.lit(r.name).alias("check"), F.lit(r.table).alias("table"), "failures", F.lit(r.message).alias("message")
+def _orphans(silver: Silver, references: list[Reference]) -> DataFrame:
+    """One row whose columns ``f0``, ``f1``, ... count the rows that refer to no key of the parent."""
+    parents = list(dict.fromkeys(r.parent for r in references))
+    slots = {r: [x for x in references if x.parent == r.parent].index(r) for r in references}
+    roles: dict[str, list[Column]] = {}
+
+    def entry(condition: Column, column: str, parent: str, slot: int) -> Column:
+        role = F.struct(F.lit(parents.index(parent)).alias("parent"), F.col(column).alias("key"), F.lit(slot).alias("slot"))
+        return F.when(condition, role)
+
+    for parent in parents:
+        roles.setdefault(parent, []).append(entry(F.col(KEYS[parent]).isNotNull(), KEYS[parent], parent, -1))
+    for r in references:
+        roles.setdefault(r.table, []).append(entry(r.counted(), r.column, r.parent, slots[r]))
+    rows = reduce(DataFrame.unionByName, [
+        getattr(silver, table).select(F.inline(F.array_compact(F.array(*entries)))) for table, entries in roles.items()
+    ])
+    width = max(slots.values()) + 1
+    keys = rows.groupBy("parent", "key").agg(
+        F.bool_or(F.col("slot") == -1).alias("owned"), *[count_when(F.col("slot") == i).alias(f"n{i}") for i in range(width)]
     )
+    return keys.filter(~F.col("owned")).agg(*[
+        total(F.when(F.col("parent") == parents.index(r.parent), F.col(f"n{slots[r]}"))).cast("long").alias(f"f{i}")
+        for i, r in enumerate(references)
+    ])
+
+
+def _reference_results(silver: Silver, references: list[Reference]) -> DataFrame:
+    return _as_rows(_orphans(silver, references), references)
 
 
 def _key_results(rows: DataFrame) -> DataFrame:
@@ -164,20 +191,19 @@ def run_check(silver: Silver, name: str) -> DataFrame:
         return _finish(_key_results(reduce(DataFrame.unionByName, rows)))
     for r in REFERENCES + EXTRA_REFERENCES:
         if r.name == name:
-            return _finish(_reference_result(silver, r))
+            return _finish(_reference_results(silver, [r]))
     rule = next(r for r in ROW_RULES if r.name == name)
     return _finish(_row_results(silver, rule.table, [rule]))
 
 
 def run_all(silver: Silver, extra: bool = False) -> DataFrame:
-    """All 25 checks (and the further references if asked for), one scan per table for the row rules."""
+    """All 25 checks (and the further references if asked for), one scan per table for the row rules, one for the references."""
     by_table: dict[str, list[RowRule]] = {}
     for r in ROW_RULES + KEY_RULES:
         by_table.setdefault(r.table, []).append(r)
     rows = reduce(DataFrame.unionByName, [_row_results(silver, t, rules) for t, rules in by_table.items()])
     references = REFERENCES + (EXTRA_REFERENCES if extra else [])
-    linked = reduce(DataFrame.unionByName, [_reference_result(silver, r) for r in references])
-    return _finish(_key_results(rows).unionByName(linked))
+    return _finish(_key_results(rows).unionByName(_reference_results(silver, references)))
 
 
 def issues(silver: Silver) -> DataFrame:

@@ -81,3 +81,26 @@ def test_single_check(make_silver):
     for name in quality.CHECKS:
         r = one(quality.run_check(silver, name))
         assert r["check"] == name and r["passed"] and r["message"]
+
+
+def test_references_are_one_grouping(spark, make_silver):
+    """All references together: every table is read once more, and keys meet in one exchange."""
+    import re
+
+    silver = make_silver(claims=[claim(1)])
+    text = quality._reference_results(silver, quality.REFERENCES + quality.EXTRA_REFERENCES)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1 and "Join" not in text
+
+
+def test_null_and_exempt_and_hot_references(spark, make_silver):
+    """A NULL reference is an orphan, also if a parent's key is NULL; an exempt value is none; a hot orphan counts row by row."""
+    silver = make_silver(
+        claims=[claim(i, payer_id="gone") for i in range(50)] + [claim(60, payer_id=None), claim(61, payer_id="A")],
+        payers=[{"payer_id": "A"}, {"payer_id": None}, {"payer_id": "A"}],
+        payments=[payment(1, "c1", 1.0, payer_id="PATIENT"), payment(2, "c1", 1.0, payer_id=None), payment(3, "zz", 1.0, payer_id="B")],
+    )
+    found = {r["check"]: r["failures"] for r in quality.run_all(silver, extra=True).collect()}
+    assert found["claims_have_valid_payers"] == 51 and found["payments_have_valid_payers"] == 2
+    assert found["payments_have_valid_claims"] == 1 and found["adjustments_have_valid_claims"] == 0
+    for name in ("claims_have_valid_payers", "payments_have_valid_payers"):
+        assert quality.run_check(silver, name).first().failures == found[name]

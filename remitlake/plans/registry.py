@@ -25,7 +25,7 @@ from remitlake.plans.params import (
     VIEW_VARIANTS,
 )
 from remitlake.session import set_scale_conf
-from remitlake.sources import export, ingest
+from remitlake.sources import export, ingest, layout
 from remitlake.sources.schemas import DATE_COLUMNS, TABLES
 from remitlake.sources.silver import Silver, dashboard_types
 from remitlake.sources.star import star_raw, star_silver
@@ -326,12 +326,17 @@ def _load_everything(spark: SparkSession, root: str, folder: str) -> None:
 
 
 _loaded = _once(_load_everything)
-_typed_layer = _once(lambda spark, root, folder: ingest.write_typed(star_silver(spark, root), folder))
+_typed_layer = _once(
+    lambda spark, root, folder: layout.write_bucketed(
+        star_silver(spark, root), folder, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+)
 
 
 def _stored_silver(spark: SparkSession, root: str) -> Silver:
-    """The typed layer as files, laid out by date of service."""
-    return Silver.from_parquet(spark, _typed_layer(spark, root))
+    """The typed layer as files, laid out by claim and encounter."""
+    folder = _typed_layer(spark, root)
+    return layout.open_bucketed(spark, folder, f"lake_{folder.rsplit('/', 1)[-1]}")
 
 
 def _pipeline_queries() -> dict[str, Query]:

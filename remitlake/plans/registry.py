@@ -29,6 +29,7 @@ from remitlake.sources import export, ingest, layout
 from remitlake.sources.schemas import DATE_COLUMNS, TABLES
 from remitlake.sources.silver import Silver, dashboard_types
 from remitlake.sources.star import star_raw, star_silver
+from remitlake.streaming.incremental import load_new_files_typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -302,6 +303,22 @@ def _through_files(table: str, broken: str | None = None) -> Query:
     return run
 
 
+def _through_stream(table: str) -> Query:
+    """The table written as raw CSV files, taken to the typed layer in batches of two files."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        folder = _scratch(spark)
+        export.write_csv(star_raw(star_silver(spark, root), table).repartition(5), f"{folder}/stage/{table}")
+        load_new_files_typed(spark, f"{folder}/stage", folder, f"{folder}/state", table, 2).awaitTermination()
+        typed = getattr(Silver.from_parquet(spark, f"{folder}/silver"), table)
+        return _rounded(typed, MORE_DIGITS.get(f"etl_{table}", DIGITS))
+
+    return run
+
+
+STREAMED = ("claims", "denials")
+
+
 def _once(write: Callable[[SparkSession, str, str], None]) -> Callable[[SparkSession, str], str]:
     """Folder that ``write`` fills from the tables of a root, once per application."""
     folders: dict[tuple[str, str], str] = {}
@@ -419,6 +436,7 @@ def _etl_queries() -> dict[str, Query]:
     }
     out |= {f"etl_files_{t}": _through_files(t) for t in TABLES}
     out |= {f"etl_broken_lines_{t}": _through_files(t, column) for t, column in BROKEN_TEXTS.items()}
+    out |= {f"etl_stream_{t}": _through_stream(t) for t in STREAMED}
     out["etl_load_log"] = _query(
         lambda s: _as_text(ingest.load_log_rows(s, F.lit(AS_OF_TIME).cast("timestamp_ntz")), "last_loaded_at")
     )
@@ -443,6 +461,7 @@ def all_oracles() -> dict[str, str]:
     return (
         found
         | {f"etl_pipeline_{t}": found[f"etl_{t}"] for t in TABLES}
+        | {f"etl_stream_{t}": found[f"etl_{t}"] for t in STREAMED}
         | {"etl_pipeline_log": counts}
         | {
             f"etl_broken_lines_{t}": f"SELECT * REPLACE ({c} || chr(10) || '\"' || {c} || '\", x' AS {c}) FROM ({found[f'etl_{t}']})"

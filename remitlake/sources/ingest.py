@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,19 +140,17 @@ def write_typed(silver: Silver, target: str, clustered: bool = True) -> None:
 
 # ---------------------------------------------------------------- load log
 
-def load_log_rows(silver: Silver, loaded_at: Column | None = None) -> DataFrame:
-    """One row per table: domain, load time, row count, file. One union, so one job."""
+def log_row(frame: DataFrame, table: str, loaded_at: Column | None = None) -> DataFrame:
+    """Domain, load time, row count and file of one table."""
     when = (loaded_at if loaded_at is not None else F.current_timestamp()).cast("timestamp_ntz")
-    rows = [
-        frame.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("domain"),
-            when.alias("last_loaded_at"),
-            "row_count",
-            F.lit(f"{name}.csv").alias("source_file"),
-        )
-        for name, frame in silver.tables().items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    return frame.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(table).alias("domain"), when.alias("last_loaded_at"), "row_count", F.lit(f"{table}.csv").alias("source_file")
+    )
+
+
+def load_log_rows(silver: Silver, loaded_at: Column | None = None, tables: Iterable[str] = TABLES) -> DataFrame:
+    """One row per table. One union, so one job."""
+    return reduce(DataFrame.unionByName, [log_row(getattr(silver, t), t, loaded_at) for t in tables])
 
 
 LOG_SCHEMA = "domain string, last_loaded_at timestamp_ntz, row_count bigint, source_file string"

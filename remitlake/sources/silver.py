@@ -43,7 +43,8 @@ class Silver:
         """Read ``root/<table>``; the declared schema saves the inference pass over the footers."""
 
         def opener(table: str) -> Source:
-            return lambda: spark.read.schema(typed_schema(table)).parquet(f"{root}/{table}")
+            names = [c for c, _ in TABLES[table]]  # without the batch, which names folders of a table loaded in batches
+            return lambda: spark.read.schema(typed_schema(table)).parquet(f"{root}/{table}").select(*names)
 
         return cls({t: opener(t) for t in TABLES})
 

@@ -28,8 +28,12 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 #: below it is generalised. PRIOR: with so many further texts, in which the entity is as frequent as anywhere, the
 #: entity's frequency beside a term is smoothed, so that the fewer texts hold a term, the less it says.
 DISCLOSURE, PRIOR, REMOVE = 0.8, 4, 0.95
+#: Every word stands beside something once, so one meeting proves nothing. A term is sure if it is a disclosure by the
+#: texts besides the one in which it met the entity; a sure term goes everywhere, others only if at most so many code
+#: points lie between them and a value.
+NEAR = 60
 SPAN = "array<struct<kind:string,a:bigint,b:bigint,v:string>>"
-TOLD = "array<struct<a:bigint,b:bigint,share:double>>"
+TOLD = "array<struct<a:bigint,b:bigint,share:double,sure:boolean>>"
 
 
 def _digits(value: Column) -> Column:
@@ -98,12 +102,13 @@ def _told(n_te: Column, n_t: Column, n_e: Column, n: float, prior: int) -> Colum
 
 
 def disclosures(spans: DataFrame, share: float, prior: int) -> DataFrame:
-    """(entity, term, share): terms that reveal an entity or its class, from counts over all rows of ``spans``.
+    """(entity, term, share, sure): terms that reveal an entity or its class, from counts over all rows of ``spans``.
 
     With n documents, n_t of them with the term, n_e with the entity and n_te with both, the entity's frequency beside
     the term is p = (n_te + prior n_e / n) / (n_t + prior), and the term gives away log2(p n / n_e) of the entity's
-    log2(n / n_e) bits. Pairs that cannot reach ``share`` with the largest n_te possible are left out before they are
-    counted. ``spans``: row, ``_text``, ``base``.
+    log2(n / n_e) bits. ``sure`` tells whether it does so with n_te - 1 and n_t - 1 as well. Pairs that cannot reach
+    ``share`` with the largest n_te possible are left out before they are counted. An entity that stands in every row has
+    no bits to give away and is left out. ``spans``: row, ``_text``, ``base``.
     """
     n = float(max(spans.count(), 2))
     found = spans.where(F.size("base") > 0)
@@ -120,7 +125,8 @@ def disclosures(spans: DataFrame, share: float, prior: int) -> DataFrame:
     possible = _told(F.least("n_t", "n_e"), F.col("n_t"), F.col("n_e"), n, prior) >= share - 1e-9
     pairs = counted.alias("e").join(rare.alias("t"), (F.col("e.row") == F.col("t.row")) & possible)
     scored = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).select(
-        "entity", "term", _told(F.col("n_te"), F.col("n_t"), F.col("n_e"), n, prior).alias("share")
+        "entity", "term", _told(F.col("n_te"), F.col("n_t"), F.col("n_e"), n, prior).alias("share"),
+        (_told(F.col("n_te") - 1, F.col("n_t") - 1, F.col("n_e"), n, prior) >= share).alias("sure"),
     )
     return stored(scored.where(F.col("share") >= share), "disclosures")
 
@@ -140,24 +146,24 @@ def _words(rows: DataFrame) -> DataFrame:
 
 def _marks(spans: DataFrame, telling: DataFrame) -> DataFrame:
     """(row, marks): the terms of a row that reveal any entity, with their largest share over the entities, whether or
-    not the row holds one of them: a term gives the entity away there as well."""
-    terms = stored(telling.groupBy("term").agg(F.max("share").alias("share")), "terms")
+    not the row holds one of them: a sure term gives the entity away there as well."""
+    terms = stored(telling.groupBy("term").agg(F.max("share").alias("share"), F.bool_or("sure").alias("sure")), "terms")
     held = spans.select("row", F.explode(_terms(F.col("_text"))).alias("term"))
     held = held.join(bounded(terms, 64 * terms.count()), "term")
-    return stored(held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marks")), "marks")
+    return stored(held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("share", "sure")))).alias("marks")), "marks")
 
 
 def _marked(text: Column, marks: Column) -> Column:
-    """Places and shares of the words that ``marks`` holds, in order. One pass within the row, so no word is shuffled."""
+    """Places, shares and sureness of the words that ``marks`` holds, in order. One pass within the row, so no word is shuffled."""
     both = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("v"))
     none = F.array().cast(TOLD)
 
     def step(acc: Column, w: Column) -> Column:
         a = acc["at"] + F.length(w["gap"])
         b = a + F.coalesce(F.length(w["v"]), F.lit(0))
-        share = F.try_element_at(marks, F.lower(w["v"]))
-        one = F.array(F.struct(a.alias("a"), b.alias("b"), share.alias("share"))).cast(TOLD)
-        return F.struct(b.alias("at"), F.when(share.isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        mark = F.try_element_at(marks, F.lower(w["v"]))
+        one = F.array(F.struct(a.alias("a"), b.alias("b"), mark["share"].alias("share"), mark["sure"].alias("sure"))).cast(TOLD)
+        return F.struct(b.alias("at"), F.when(mark.isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
     return F.aggregate(both, start, step, lambda acc: acc["out"])
@@ -166,8 +172,8 @@ def _marked(text: Column, marks: Column) -> Column:
 def personal_spans(
     docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", share: float = DISCLOSURE, prior: int = PRIOR,
 ) -> DataFrame:
-    """``columns``, ``_text``, ``base`` (spans of the patterns) and ``told`` (spans of revealing terms: a, b, share) of
-    every row.
+    """``columns``, ``_text``, ``base`` (spans of the patterns) and ``told`` (spans of revealing terms: a, b, share,
+    sure) of every row: the sure ones anywhere, the others near a value.
 
     Rows are numbered when the patterns' matches are stored, so null and repeated ids need no care. Null and empty texts
     have no span. No rows in, none out.
@@ -175,10 +181,12 @@ def personal_spans(
     spans = docs.select(*columns, whole_text(text_col).alias("_text"), base_spans(text_col).alias("base"))
     spans = stored(spans.withColumn("row", F.monotonically_increasing_id()), "spans")
     marks = _marks(spans, disclosures(spans, share, prior))
-    def free(w: Column) -> Column:
-        return ~F.exists("base", lambda s: (s["a"] < w["b"]) & (s["b"] > w["a"]))
 
-    told = F.filter(_marked(F.col("_text"), F.col("marks")), free)
+    def shown(w: Column) -> Column:
+        free = ~F.exists("base", lambda s: (s["a"] < w["b"]) & (s["b"] > w["a"]))
+        return free & (w["sure"] | F.exists("base", lambda s: (s["a"] - w["b"] <= NEAR) & (w["a"] - s["b"] <= NEAR)))
+
+    told = F.filter(_marked(F.col("_text"), F.col("marks")), shown)
     told = F.when(F.col("marks").isNotNull(), told).otherwise(F.array().cast(TOLD))
     # About as many rows hold a term as not, so the sides are shuffled at any size.
     return spans.join(marks, "row", "left").withColumn("told", told).drop("row", "marks")

@@ -20,6 +20,8 @@ from remitlake.functions.columns import (
 )
 from remitlake.operators.gold import load_gold
 from remitlake.operators.ledger import payment_totals, shortfall, underpaid, with_payments
+from remitlake.sources.catalog import layer_rank
+from remitlake.sources.schemas import missing_columns
 from remitlake.sources.silver import Silver
 
 
@@ -147,6 +149,15 @@ def display_text(value: Column, suffix: str = "") -> Column:
     )
 
 
+def display_values(one_row: DataFrame, suffixes: dict[str, str] | None = None) -> DataFrame:
+    """Every number of a one-row frame as short text, one row each."""
+    texts = [
+        F.struct(F.lit(c).alias("name"), display_text(F.col(c).cast("double"), (suffixes or {}).get(c, "")).alias("text"))
+        for c in one_row.columns
+    ]
+    return one_row.select(F.inline(F.array(*texts)))
+
+
 # ------------------------------------------------------------------ diagnostics
 
 def row_counts(layer: str, frames: dict[str, DataFrame]) -> DataFrame:
@@ -160,6 +171,36 @@ def row_counts(layer: str, frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts).orderBy("layer", "table_name")
 
 
+def column_report(frames: dict[str, DataFrame]) -> DataFrame:
+    """Per table its rows and the required columns that it lacks, comma-separated; empty if it can be used."""
+    found = [
+        f.agg(_rows().alias("row_count")).select(
+            F.lit(t).alias("table"), "row_count", F.lit(", ".join(missing_columns(t, f.columns))).alias("missing")
+        )
+        for t, f in frames.items()
+    ]
+    return reduce(DataFrame.unionByName, found).orderBy("table")
+
+
+def load_stamps(raw: dict[str, DataFrame]) -> DataFrame:
+    """Per raw table its rows, those with a load time, and whether they all have the same."""
+    found = [
+        f.agg(
+            _rows().alias("row_count"), F.count("_loaded_at").alias("stamped"),
+            (F.min("_loaded_at") == F.max("_loaded_at")).alias("one_load"),
+        ).select(F.lit(t).alias("table"), "row_count", "stamped", "one_load")
+        for t, f in raw.items()
+    ]
+    return reduce(DataFrame.unionByName, found).orderBy("table")
+
+
+def layer_counts(layers: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """Rows of every table of every layer, the layers in the order in which data passes them."""
+    counts = reduce(DataFrame.unionByName, [row_counts(layer, frames) for layer, frames in layers.items()])
+    ranked = counts.withColumn("layer_rank", layer_rank("layer"))
+    return ranked.orderBy("layer_rank", "table_name")
+
+
 def gold_row_counts(silver: Silver, as_of: str | None = None) -> DataFrame:
     return row_counts("GOLD", load_gold(silver, as_of))
 

@@ -8,13 +8,17 @@ from remitlake.plans.params import (
     AS_OF,
     AS_OF_TIME,
     DEPARTMENT,
+    DISPLAY_SUFFIXES,
+    EVERYTHING,
+    LEFT_OUT,
+    LOADS,
     PAYER,
     PAYER_NAME,
     PROVIDER,
     UNFILTERED_VIEWS,
     VIEW_VARIANTS,
 )
-from remitlake.sources.schemas import DATE_COLUMNS, FLAG_COLUMNS, TABLES
+from remitlake.sources.schemas import DATE_COLUMNS, FLAG_COLUMNS, REQUIRED, TABLES
 
 FANNED = "claims c LEFT JOIN payments p ON c.claim_id = p.claim_id"
 AGE = f"datediff('day', TRY_CAST(c.date_of_service AS DATE), DATE '{AS_OF}')"
@@ -230,16 +234,24 @@ ISSUES = f"""SELECT 'error' AS level, "check" AS "table" FROM ({_union([_check(n
 
 # ------------------------------------------------------------------ load log
 
+def loaded_at(table: str) -> str:
+    """When a table was loaded last."""
+    return [when for when, tables in LOADS if tables is None or table in tables][-1]
+
+
+# Rows that come through the load: lines without a key are left out.
+LOADED = {"charges": "charges WHERE post_date = service_date OR units <> 50"}
 LOG = _union([
-    f"SELECT '{t}' AS domain, COUNT(*) AS row_count, '{t}.csv' AS source_file FROM {t}" for t in TABLE_NAMES
+    f"SELECT '{t}' AS domain, COUNT(*) AS row_count, '{t}.csv' AS source_file, "
+    f"TIMESTAMP '{loaded_at(t)}' AS loaded_at FROM {LOADED.get(t, t)}"
+    for t in TABLE_NAMES
 ])
-# Load times that depend on the data, so that every status occurs.
 FRESH_REL = {
     "log_rows": LOG,
     "fresh": f"""SELECT *, CASE WHEN age_hours > 3 * cadence_hours THEN 'critical'
         WHEN age_hours > cadence_hours THEN 'stale' ELSE 'fresh' END AS status FROM (
-        SELECT domain, row_count, source_file, CAST(row_count % 97 AS DOUBLE) AS age_hours,
-        CAST(TIMESTAMP '{AS_OF_TIME}' - to_hours(CAST(row_count % 97 AS INT)) AS VARCHAR) AS last_loaded_at,
+        SELECT domain, row_count, source_file, epoch(TIMESTAMP '{AS_OF_TIME}' - loaded_at) / 3600 AS age_hours,
+        CAST(loaded_at AS VARCHAR) AS last_loaded_at,
         CASE domain WHEN 'claims' THEN 4 WHEN 'payments' THEN 6 WHEN 'encounters' THEN 4 WHEN 'charges' THEN 4
           WHEN 'denials' THEN 12 WHEN 'adjustments' THEN 8 WHEN 'operating_costs' THEN 720 ELSE 24 END AS cadence_hours,
         CASE domain WHEN 'claims' THEN 'Claims' WHEN 'payments' THEN 'Payments / ERA'
@@ -619,6 +631,30 @@ def cascade_rel(p: FilterParams) -> dict[str, str]:
         ]),
     }
 
+# Export sheets that hold rows of a table.
+ROW_SHEETS = {
+    ("collections_revenue", "Filtered Claims"): ("claims", "f_claims"),
+    ("collections_revenue", "Filtered Payments"): ("payments", "f_payments"),
+    ("collections_revenue", "Filtered Adjustments"): ("adjustments", "f_adjustments"),
+    ("claims_denials", "Filtered Denials"): ("denials", "f_denials"),
+    (f"payer_drilldown_{PAYER}", "Denials"): (
+        "denials", "(SELECT * FROM denials WHERE claim_id IN (SELECT claim_id FROM drill_payer))",
+    ),
+    (f"dept_drilldown_{DEPARTMENT}", "Denials"): (
+        "denials", "(SELECT * FROM denials WHERE claim_id IN (SELECT claim_id FROM drill_dept))",
+    ),
+}
+
+
+def row_sheet_statements() -> dict[tuple[str, str], str]:
+    rel = {**relations(EVERYTHING), **view_rel(EVERYTHING)}
+    out = {}
+    for key, (table, rows) in ROW_SHEETS.items():
+        shown = " ".join(f"{c}:d" if t == "double" else c for c, t in TABLES[table])
+        out[key] = statement(shown, f"SELECT * FROM {rows} x", rel)
+    return out
+
+
 VIEW_SQL["cascade_sizes"] = ('"table" n:i', "SELECT * FROM n_sizes")
 
 
@@ -641,6 +677,14 @@ def loader_statements(more_digits: dict[str, int]) -> dict[str, str]:
     return out
 
 
+def _displayed(name: str, body: str) -> str:
+    end = DISPLAY_SUFFIXES.get(name, "")
+    return f"""SELECT '{name}' AS name, CASE WHEN v IS NULL THEN '—'
+        WHEN ABS(v) >= 1e6 THEN '$' || format('{{:,.1f}}', v / 1e6) || 'M{end}'
+        WHEN v = FLOOR(v) AND ABS(v) < 100000 THEN format('{{:,.0f}}', v) || '{end}'
+        ELSE format('{{:,.1f}}', v) || '{end}' END AS text FROM (SELECT CAST(v AS DOUBLE) AS v FROM ({body}) x) y"""
+
+
 def view_statements() -> dict[str, str]:
     out = {}
     for suffix, p in VIEW_VARIANTS.items():
@@ -662,6 +706,27 @@ def view_statements() -> dict[str, str]:
     out["dq_all"] = statement(dq_columns, _union([_check(n) for n in DQ]), {})
     out["dq_issues"] = statement('level "table"', ISSUES, {})
     out["dq_issue_rollup"] = statement("level count:i", f'SELECT level, COUNT(*) AS "count" FROM ({ISSUES}) GROUP BY 1', {})
+    out["dq_issues_of_error"] = out["dq_issues"]
+    for level, table in (("error", "claims_have_valid_payers"), ("warning", None)):
+        which = f"\"table\" = '{table}'" if table else f"level = '{level}'"
+        out[f"dq_issues_of_{table or level}"] = statement('level "table"', f"SELECT * FROM ({ISSUES}) x WHERE {which}", {})
+    out["proc_display"] = statement("name text", _union([_displayed(n, body) for n, body in PROCESS.items()]), {})
+    ranks = {"bronze_counts": 1, "silver_counts": 2, "gold_counts": 3}
+    out["diag_layer_counts"] = statement(
+        "layer table_name row_count:i layer_rank",
+        _union([f"SELECT *, {rank} AS layer_rank FROM ({DIAG_SQL[n][1]}) x" for n, rank in ranks.items()]), GOLD_REL,
+    )
+    lacking = {t: ", ".join(c for c in REQUIRED[t] if c in LEFT_OUT.get(t, ())) for t in TABLE_NAMES}
+    out["diag_column_report"] = statement(
+        '"table" row_count:i missing',
+        _union([f"SELECT '{t}' AS \"table\", COUNT(*) AS row_count, '{lacking[t]}' AS missing FROM {t}" for t in TABLE_NAMES]), {},
+    )
+    out["etl_load_stamps"] = statement(
+        '"table" row_count:i stamped:i one_load',
+        _union([
+            f"SELECT '{t}' AS \"table\", COUNT(*) AS row_count, COUNT(*) AS stamped, TRUE AS one_load FROM {t}" for t in TABLE_NAMES
+        ]), {},
+    )
     out["kpi_data_freshness"] = statement(
         "domain label last_loaded_at row_count:i source_file cadence_hours age_hours:d status", "SELECT * FROM fresh",
         FRESH_REL,

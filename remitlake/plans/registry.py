@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,12 +13,15 @@ from remitlake.operators import filters, gold, kpis, process, quality, semantic,
 from remitlake.operators.filters import FilterParams
 from remitlake.plans.oracle_kpis import KPI_SQL, kpi_statement
 from remitlake.plans.oracle_series import SERIES, series_statements
-from remitlake.plans.oracle_views import loader_statements, view_statements
+from remitlake.plans.oracle_views import ROW_SHEETS, loaded_at, loader_statements, row_sheet_statements, view_statements
 from remitlake.plans.params import (
     AS_OF,
     AS_OF_TIME,
     DEPARTMENT,
+    DISPLAY_SUFFIXES,
     EVERYTHING,
+    LEFT_OUT,
+    LOADS,
     PAYER,
     PAYER_NAME,
     PROVIDER,
@@ -88,12 +92,10 @@ def _kpi_oracles() -> dict[str, str]:
     }
 
 
-def _freshness(s: Silver) -> DataFrame:
-    """The load log of these tables, each loaded some hours (given by its row count) ago."""
-    now = F.lit(AS_OF_TIME).cast("timestamp_ntz")
-    log = ingest.load_log_rows(s, now)
-    hours = F.make_dt_interval(F.lit(0), (F.col("row_count") % 97).cast("int"))
-    return kpis.data_freshness(log.withColumn("last_loaded_at", F.col("last_loaded_at") - hours), now)
+def _freshness(spark: SparkSession, root: str) -> DataFrame:
+    """The log that the loads of the raw files have written, looked at as of a fixed time."""
+    log = ingest.read_log(spark, f"{_loaded(spark, root)}/metadata/pipeline_runs")
+    return kpis.data_freshness(log, F.lit(AS_OF_TIME).cast("timestamp_ntz"))
 
 
 def _cascade_sizes(s: Silver, dates: FilterParams) -> DataFrame:
@@ -167,7 +169,6 @@ def _dated_views(dates: FilterParams) -> dict[str, Query]:
 
 def _undated_views() -> dict[str, Query]:
     out = {}
-    out["view_freshness_rollup"] = _query(lambda s: views.freshness_rollup(_freshness(s)))
     out["view_filter_date_bounds"] = _query(lambda s: _as_text(filters.date_bounds(s), "min_date", "max_date"))
     for name, column in (
         ("payer_names", "payer_name"), ("departments", "department"), ("encounter_types", "encounter_type"),
@@ -197,7 +198,16 @@ def _other_queries() -> dict[str, Query]:
     out["dq_all"] = _query(lambda s: quality.run_all(s, extra=True).drop("message"))
     out["dq_issues"] = _query(lambda s: quality.issues(s).drop("message"))
     out["dq_issue_rollup"] = _query(lambda s: quality.issue_rollup(quality.issues(s)))
-    out["kpi_data_freshness"] = _query(lambda s: _as_text(_freshness(s), "last_loaded_at"))
+    for level, table in (("error", None), (None, "claims_have_valid_payers"), ("warning", None)):
+        found = _query(lambda s, level=level, table=table: quality.issue_filter(quality.issues(s), level, table).drop("message"))
+        out[f"dq_issues_of_{level or table}"] = found
+    out["proc_display"] = _query(lambda s: process.display_values(process.process_kpis(s), DISPLAY_SUFFIXES))
+    out["diag_layer_counts"] = _query(lambda s: process.layer_counts({
+        "SILVER": s.tables(), "GOLD": gold.load_gold(s, AS_OF), "BRONZE": {t: star_raw(s, t) for t in TABLES},
+    }))
+    out["diag_column_report"] = _query(lambda s: process.column_report(
+        {t: getattr(s, t).drop(*LEFT_OUT.get(t, ())) for t in TABLES}
+    ))
     return out
 
 
@@ -339,7 +349,9 @@ def _load_everything(spark: SparkSession, root: str, folder: str) -> None:
     raw = star_silver(spark, root)
     for table in TABLES:
         export.write_csv(star_raw(raw, table), f"{folder}/stage/{table}.csv")
-    ingest.run_pipeline(spark, f"{folder}/stage", folder)
+    for when, tables in LOADS:
+        loaded_at = F.lit(when).cast("timestamp_ntz")
+        ingest.run_pipeline(spark, f"{folder}/stage", folder, tables=tables or TABLES, loaded_at=loaded_at)
 
 
 _loaded = _once(_load_everything)
@@ -364,12 +376,20 @@ def _pipeline_queries() -> dict[str, Query]:
         return _rounded(getattr(silver, table), MORE_DIGITS.get(f"etl_{table}", DIGITS))
 
     def log(spark: SparkSession, root: str) -> DataFrame:
-        return ingest.read_log(spark, f"{_loaded(spark, root)}/metadata/pipeline_runs").drop("last_loaded_at")
+        log = ingest.read_log(spark, f"{_loaded(spark, root)}/metadata/pipeline_runs")
+        return _as_text(log, "last_loaded_at")
+
+    def stamps(spark: SparkSession, root: str) -> DataFrame:
+        return process.load_stamps(ingest.read_raw(spark, f"{_loaded(spark, root)}/bronze"))
 
     out: dict[str, Query] = {
         f"etl_pipeline_{t}": lambda spark, root, t=t: table_of(spark, root, t) for t in TABLES
     }
-    return out | {"etl_pipeline_log": log}
+    return out | {
+        "etl_pipeline_log": log, "etl_load_stamps": stamps,
+        "kpi_data_freshness": lambda spark, root: _rounded(_as_text(_freshness(spark, root), "last_loaded_at"), DIGITS),
+        "view_freshness_rollup": lambda spark, root: views.freshness_rollup(_freshness(spark, root)),
+    }
 
 
 #: Queries that also run over the stored typed layer.
@@ -399,11 +419,16 @@ EXPORTS = {
     ("patient_responsibility", "Patient Responsibility"): "view_detail_patient_resp",
     ("claim_scrubbing_breakdown", "Scrubbing Breakdown"): "view_detail_scrubbing",
     ("collections_revenue", "Financial Summary"): "view_financial_summary",
+    ("claims_denials", "Denial Reasons"): "view_detail_denial_reasons",
+    (f"payer_drilldown_{PAYER}", "Claims"): "view_payer_drilldown_detail",
+    (f"dept_drilldown_{DEPARTMENT}", "Encounters & Claims"): "view_department_drilldown_detail",
 }
+#: Sheets that hold rows of a table as they are.
+ROW_EXPORTS = tuple(ROW_SHEETS)
 
 
 def _export_name(label: str, sheet: str) -> str:
-    return f"export_{label}_{sheet.lower().replace(' ', '_')}"
+    return f"export_{label.lower()}_{re.sub('[^a-z]+', '_', sheet.lower())}"
 
 
 def _exported(label: str, sheet: str) -> Query:
@@ -411,7 +436,7 @@ def _exported(label: str, sheet: str) -> Query:
 
     def run(spark: SparkSession, root: str) -> DataFrame:
         set_scale_conf(spark)
-        frame = views.export_sets(star_silver(spark, root), EVERYTHING)[label][sheet]
+        frame = views.export_sets(star_silver(spark, root), EVERYTHING, PAYER, DEPARTMENT)[label][sheet]
         (path,) = export.write_sets({label: {sheet: frame}}, _scratch(spark))
         back = spark.read.schema(frame.schema).option("header", True).option("escape", '"').csv(path)
         return _rounded(back, DIGITS)
@@ -449,14 +474,15 @@ def all_queries() -> dict[str, Query]:
     )
     return (
         found | _pipeline_queries() | _stored_queries(found) | _loader_queries()
-        | {_export_name(*key): _exported(*key) for key in EXPORTS}
+        | {_export_name(*key): _exported(*key) for key in (*EXPORTS, *ROW_EXPORTS)}
     )
 
 
 def all_oracles() -> dict[str, str]:
     found = _kpi_oracles() | view_statements() | series_statements(MORE_DIGITS)
     counts = " UNION ALL ".join(
-        f"SELECT '{t}' AS domain, COUNT(*) AS row_count, '{t}.csv' AS source_file FROM ({found[f'etl_{t}']})" for t in TABLES
+        f"SELECT '{t}' AS domain, '{loaded_at(t)}' AS last_loaded_at, COUNT(*) AS row_count, '{t}.csv' AS source_file "
+        f"FROM ({found[f'etl_{t}']})" for t in TABLES
     )
     return (
         found
@@ -469,5 +495,6 @@ def all_oracles() -> dict[str, str]:
         }
         | {f"lake_{name}": found[name] for name in STORED}
         | {_export_name(*key): found[name] for key, name in EXPORTS.items()}
+        | {_export_name(*key): sql for key, sql in row_sheet_statements().items()}
         | loader_statements(MORE_DIGITS)
     )

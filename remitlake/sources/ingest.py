@@ -129,9 +129,10 @@ CLUSTER_BY = {
 }
 
 
-def write_typed(silver: Silver, target: str, clustered: bool = True) -> None:
+def write_typed(silver: Silver, target: str, clustered: bool = True, tables: Iterable[str] = TABLES) -> None:
     """Full refresh of ``target/<table>``."""
-    for table, frame in silver.tables().items():
+    for table in tables:
+        frame = getattr(silver, table)
         order = CLUSTER_BY.get(table)
         if clustered and order:
             frame = frame.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -168,10 +169,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path).select("domain", "last_loaded_at", "row_count", "source_file")
 
 
-def run_pipeline(spark: SparkSession, source: str, target: str, clustered: bool = True) -> Silver:
-    """Raw files to raw layer to typed layer to load log, in that order."""
-    load_raw(spark, source, f"{target}/bronze")
-    write_typed(typed_silver(read_raw(spark, f"{target}/bronze")), f"{target}/silver", clustered)
+def run_pipeline(
+    spark: SparkSession, source: str, target: str, clustered: bool = True, tables: Iterable[str] = TABLES,
+    loaded_at: Column | None = None,
+) -> Silver:
+    """Raw files to raw layer to typed layer to load log, in that order; all tables, or only those named."""
+    tables = list(tables)
+    load_raw(spark, source, f"{target}/bronze", tables)
+    raw = {t: spark.read.parquet(f"{target}/bronze/{t}") for t in tables}
+    write_typed(typed_silver(raw), f"{target}/silver", clustered, tables)
     silver = Silver.from_parquet(spark, f"{target}/silver")
-    upsert_log(load_log_rows(silver), f"{target}/metadata/pipeline_runs")
+    upsert_log(load_log_rows(silver, loaded_at, tables), f"{target}/metadata/pipeline_runs")
     return silver

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitlake.functions.columns import iso_date
+from remitlake.functions.columns import count_when, iso_date
 from remitlake.sources.silver import Silver
 
 
@@ -43,13 +44,8 @@ def filtered_claims(silver: Silver, p: FilterParams) -> DataFrame:
     return claims
 
 
-def cascade(silver: Silver, p: FilterParams) -> Silver:
-    """Filter every table outward from claims.
-
-    Not the same as :func:`filtered_claims`: encounters are filtered by their own date
-    (and not by payer), and a department or type keeps only claims whose encounter passes
-    that date filter as well. Charges follow the encounters, the rest follow the claims.
-    """
+def _scope(silver: Silver, p: FilterParams) -> tuple[DataFrame, DataFrame]:
+    """Claims and encounters of the cascade."""
     start, end = F.lit(p.start_date).cast("date"), F.lit(p.end_date).cast("date")
     # A date that parses is equal to its text, so comparing the text as well changes nothing but reaches the scan.
     as_text = F.col("date_of_service").between(p.start_date, p.end_date)
@@ -64,6 +60,17 @@ def cascade(silver: Silver, p: FilterParams) -> Silver:
         encounters = encounters.filter(F.col("encounter_type") == p.encounter_type)
     if p.department or p.encounter_type:
         claims = claims.join(encounters.select("encounter_id"), "encounter_id", "left_semi")
+    return claims, encounters
+
+
+def cascade(silver: Silver, p: FilterParams) -> Silver:
+    """Filter every table outward from claims.
+
+    Not the same as :func:`filtered_claims`: encounters are filtered by their own date
+    (and not by payer), and a department or type keeps only claims whose encounter passes
+    that date filter as well. Charges follow the encounters, the rest follow the claims.
+    """
+    claims, encounters = _scope(silver, p)
     claim_ids, encounter_ids = claims.select("claim_id"), encounters.select("encounter_id")
     return silver.with_tables(
         claims=claims,
@@ -75,6 +82,27 @@ def cascade(silver: Silver, p: FilterParams) -> Silver:
     )
 
 
+def cascade_sizes(silver: Silver, p: FilterParams) -> DataFrame:
+    """Rows per table of the cascade, without its joins: the scope is derived once, and the tables that follow it are
+    counted per key together with it. The counts combine map-side, so a hot claim is a few rows by then."""
+    claims, encounters = _scope(silver, p)
+
+    def counted(scope: DataFrame, key: str, name: str, **followers: DataFrame) -> DataFrame:
+        tables = {name: scope, **followers}
+        tagged = reduce(DataFrame.unionByName, [
+            f.filter(F.col(key).isNotNull()).select(key, F.lit(t).alias("of")) for t, f in followers.items()
+        ] + [scope.select(key, F.lit(name).alias("of"))])
+        keys = tagged.groupBy(key).agg(*[count_when(F.col("of") == t).alias(t) for t in tables])
+        sums = keys.filter(F.col(name) > 0).agg(*[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in tables])
+        rows = F.array(*[F.struct(F.lit(t).alias("table"), F.col(t).alias("n")) for t in tables])
+        return sums.select(F.inline(rows))
+
+    per_claim = counted(
+        claims, "claim_id", "claims", payments=silver.payments, denials=silver.denials, adjustments=silver.adjustments
+    )
+    return per_claim.unionByName(counted(encounters, "encounter_id", "encounters", charges=silver.charges))
+
+
 def date_bounds(silver: Silver) -> DataFrame:
     """First and last service date of the claims."""
     day = iso_date("date_of_service")

@@ -27,8 +27,8 @@ from remitlake.functions.columns import (
 )
 from remitlake.functions.fixed_values import ALERT_LIMITS, EXTRA_CUTS, SCORECARD_CUTS
 from remitlake.operators import kpis as k
-from remitlake.operators.filters import FilterParams, cascade
-from remitlake.operators.ledger import with_payments
+from remitlake.operators.filters import FilterParams, cascade, filtered_claims
+from remitlake.operators.ledger import EXACT, shortfall, with_payments
 from remitlake.sources.silver import Silver
 
 HIGH_DENIAL = 15
@@ -82,16 +82,61 @@ def kpi_scorecard(silver: Silver, p: FilterParams) -> DataFrame:
 
 
 def page_scorecards(silver: Silver, p: FilterParams) -> DataFrame:
-    """The graded numbers of the single pages."""
-    values = side_by_side(
-        ar_under_60_share(silver, p),
-        k.cost_to_collect_value(silver, p),
-        k.appeal_success_rate(silver, p).select("appeal_success_rate"),
-        provider_summary(silver, p).select("avg_collection_rate", "avg_denial_rate", "avg_clean_claim_rate"),
-        underpayment_summary(silver, p).select("underpayment_rate"),
-        patient_resp_summary(silver, p).select("patient_resp_rate"),
+    """The graded numbers of the single pages, from one pass: payments and denials are summed per claim together, claims
+    per encounter and payer, those per provider, and the providers' sums hold what every number needs."""
+    return scorecard_from(_page_numbers(silver, p), EXTRA_CUTS)
+
+
+def _claim_events(silver: Silver) -> DataFrame:
+    """Payment and appeal sums per claim, from one grouping."""
+    paid = silver.payments.select("claim_id", "payment_amount", "allowed_amount")
+    appeals = silver.denials.select("claim_id", "appeal_status")
+    allowed = F.col("allowed_amount") > 0
+    return paid.unionByName(appeals, allowMissingColumns=True).groupBy("claim_id").agg(
+        total("payment_amount").alias("paid"),
+        F.sum(F.col("payment_amount").cast(EXACT)).alias("paid_exactly"),
+        total(F.when(allowed, F.col("allowed_amount"))).alias("allowed"),
+        total(F.when(allowed, shortfall())).alias("short"),
+        count_when(F.col("appeal_status").isin("Won", "Lost", "In Progress")).alias("appealed"),
+        count_when(F.col("appeal_status") == "Won").alias("won"),
     )
-    return scorecard_from(values, EXTRA_CUTS)
+
+
+def _page_numbers(silver: Silver, p: FilterParams) -> DataFrame:
+    claims = filtered_claims(silver, p).join(_claim_events(silver), "claim_id", "left")
+    owed = F.col("total_charge_amount").cast(EXACT) - F.coalesce("paid_exactly", F.lit(0).cast(EXACT))
+    age = F.datediff(F.lit(p.end_date).try_cast("date"), iso_date(F.coalesce("submission_date", "date_of_service")))
+    claims = claims.withColumn("open", F.when(owed > 0, owed.cast("double")).otherwise(0.0))
+    per_encounter = claims.groupBy("encounter_id", "payer_id").agg(
+        F.count("claim_id").alias("claims"), F.sum("total_charge_amount").alias("charges"), total("paid").alias("paid"),
+        F.sum("is_clean_claim").alias("clean"), count_when(denied_or_appealed()).alias("denied"),
+        total("allowed").alias("allowed"), total("short").alias("short"), F.sum("appealed").alias("appealed"),
+        F.sum("won").alias("won"), F.sum("open").alias("open"), F.sum(F.when(age <= 60, F.col("open")).otherwise(0.0)).alias("young"),
+    )
+    payers = silver.payers.select("payer_id", F.lit(True).alias("known_payer"))
+    encounters = silver.encounters.select("encounter_id", "provider_id")
+    sums = [F.sum(c).alias(c) for c in ("claims", "charges", "paid", "clean", "denied", "appealed", "won", "open", "young")]
+    sums += [F.sum(F.when(F.col("known_payer"), F.col(c))).alias(c) for c in ("allowed", "short")]
+    per_provider = per_encounter.join(encounters, "encounter_id", "left").join(payers, "payer_id", "left").groupBy("provider_id").agg(*sums)
+    providers = silver.providers.select("provider_id", F.lit(True).alias("known"))
+    rows = per_provider.join(providers, "provider_id", "left")
+
+    def mean_rate(part: str, whole: str) -> Column:
+        return F.avg(F.when(F.col("known"), pct(F.col(part), F.col(whole))))
+
+    short_rate = pct(total("short"), total("allowed"))
+    wide = rows.agg(
+        pct(total("young"), total("open")).alias("ar_under_60_pct"),
+        total("paid").alias("collected"),
+        F.round(pct(F.sum("won"), F.sum("appealed")), 2).alias("appeal_success_rate"),
+        mean_rate("paid", "charges").alias("avg_collection_rate"),
+        mean_rate("denied", "claims").alias("avg_denial_rate"),
+        mean_rate("clean", "claims").alias("avg_clean_claim_rate"),
+        short_rate.alias("underpayment_rate"),
+        short_rate.alias("patient_resp_rate"),
+    )
+    both = side_by_side(wide, silver.operating_costs.agg(total("total_rcm_cost").alias("cost")))
+    return both.withColumn("cost_to_collect", F.round(pct(F.col("cost"), F.col("collected")), 2))
 
 
 def high_denial_grade(outliers: Column) -> Column:

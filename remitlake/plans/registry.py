@@ -99,11 +99,7 @@ def _freshness(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _cascade_sizes(s: Silver, dates: FilterParams) -> DataFrame:
-    p = FilterParams(dates.start_date, dates.end_date, PAYER, DEPARTMENT, "1-URGENT")
-    scope = filters.cascade(s, p).tables()
-    names = ("claims", "encounters", "payments", "denials", "adjustments", "charges")
-    counts = process.row_counts("", {n: scope[n] for n in names})
-    return counts.select(F.lower("table_name").alias("table"), F.col("row_count").alias("n"))
+    return filters.cascade_sizes(s, FilterParams(dates.start_date, dates.end_date, PAYER, DEPARTMENT, "1-URGENT"))
 
 
 def _view_queries() -> dict[str, Query]:

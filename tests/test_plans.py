@@ -223,3 +223,40 @@ def _metrics(df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return out
+
+
+def test_scorecards_and_sizes_take_few_exchanges(stored):
+    """Summed per claim, per encounter and payer, per provider; sizes counted per claim and per encounter."""
+    from remitlake.operators import filters
+
+    assert len(exchanges(plan(views.page_scorecards(stored, YEAR)))) <= 9
+    sizes = plan(filters.cascade_sizes(stored, FilterParams("2024-01-01", "2024-12-31", "A", "Heart")))
+    assert len(exchanges(sizes)) == 4 and sizes.count("Join ") <= 1  # the semi join of the scope and the two counts
+
+
+def test_scorecards_equal_the_single_measures(make_silver):
+    from conftest import PAYER_A, PAYER_B, PROVIDER, encounter, payment
+
+    from remitlake.functions.columns import side_by_side
+    from remitlake.functions.fixed_values import EXTRA_CUTS
+
+    claims = [claim(i, payer_id="ABZ"[i % 3], claim_status=("Paid", "Denied", "Appealed")[i % 3], is_clean_claim=i % 2,
+                    submission_date=(None, "2024-12-01", "2024-05-05")[i % 3], encounter_id=f"e{i % 9}") for i in range(40)]
+    silver = make_silver(
+        claims=claims, payers=[PAYER_A, PAYER_B], providers=[PROVIDER],
+        encounters=[encounter(i, provider_id=("d1", "d2")[i % 4 == 0]) for i in range(8)],
+        payments=[payment(i, f"c{i % 30}", 40.0 + i, (None, 50.0, 90.0)[i % 3]) for i in range(70)] + [payment(99, None, 1.0)],
+        denials=[{"denial_id": f"n{i}", "claim_id": f"c{i}", "appeal_status": ("Won", "Lost", "Not Appealed", None)[i % 4]} for i in range(20)],
+        operating_costs=[{"period": "2024-01", "total_rcm_cost": 33.0}],
+    )
+    single = side_by_side(
+        views.ar_under_60_share(silver, YEAR), kpis.cost_to_collect_value(silver, YEAR),
+        kpis.appeal_success_rate(silver, YEAR).select("appeal_success_rate"),
+        views.provider_summary(silver, YEAR).select("avg_collection_rate", "avg_denial_rate", "avg_clean_claim_rate"),
+        views.underpayment_summary(silver, YEAR).select("underpayment_rate"),
+        views.patient_resp_summary(silver, YEAR).select("patient_resp_rate"),
+    )
+    expected = {r.kpi: (round(r.value, 9), r.status) for r in views.scorecard_from(single, EXTRA_CUTS).collect()}
+    assert {r.kpi: (round(r.value, 9), r.status) for r in views.page_scorecards(silver, YEAR).collect()} == expected
+    empty = make_silver()
+    assert views.page_scorecards(empty, YEAR).count() == len(expected)

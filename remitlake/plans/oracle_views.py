@@ -646,6 +646,11 @@ ROW_SHEETS = {
 }
 
 
+def typed_statement(table: str) -> str:
+    """A table as it is."""
+    return statement(" ".join(f"{c}:d" if t == "double" else c for c, t in TABLES[table]), f"SELECT * FROM {table} x", {})
+
+
 def row_sheet_statements() -> dict[tuple[str, str], str]:
     rel = {**relations(EVERYTHING), **view_rel(EVERYTHING)}
     out = {}

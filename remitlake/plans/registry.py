@@ -6,14 +6,14 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlake.operators import filters, gold, kpis, process, quality, semantic, series, views
+from remitlake.operators import filters, gold, kpis, process, quality, semantic, series, summaries, views
 from remitlake.operators.filters import FilterParams
 from remitlake.plans.oracle_kpis import KPI_SQL, kpi_statement
 from remitlake.plans.oracle_series import SERIES, series_statements
-from remitlake.plans.oracle_views import ROW_SHEETS, loaded_at, loader_statements, row_sheet_statements, view_statements
+from remitlake.plans.oracle_views import ROW_SHEETS, loaded_at, loader_statements, row_sheet_statements, typed_statement, view_statements
 from remitlake.plans.params import (
     AS_OF,
     AS_OF_TIME,
@@ -30,7 +30,8 @@ from remitlake.plans.params import (
 )
 from remitlake.session import set_scale_conf
 from remitlake.sources import export, ingest, layout
-from remitlake.sources.schemas import DATE_COLUMNS, TABLES
+from remitlake.sources.changes import Changes, read_partitioned, replace_rows, write_partitioned
+from remitlake.sources.schemas import DATE_COLUMNS, KEYS, TABLES
 from remitlake.sources.silver import Silver, dashboard_types
 from remitlake.sources.star import star_raw, star_silver
 from remitlake.streaming.incremental import load_new_files_typed
@@ -388,6 +389,63 @@ def _pipeline_queries() -> dict[str, Query]:
     }
 
 
+def _earlier(s: Silver) -> tuple[Silver, Changes]:
+    """A state of the tables before some of their rows came, changed or went, and the changes that lead to the tables."""
+
+    def slot(table: str) -> Column:
+        return F.pmod(F.hash(KEYS[table]), F.lit(100))
+
+    extra = s.claims.filter(slot("claims") == 9).withColumn("claim_id", F.concat(F.lit("X"), "claim_id"))
+    changed = s.claims.filter(slot("claims") == 7).withColumns({
+        "claim_status": F.lit("Pending"), "total_charge_amount": F.col("total_charge_amount") + 1, "is_clean_claim": F.lit(0),
+        "date_of_service": F.lit("1997-05-05"), "payer_id": F.lit("1"),
+    })
+    claims = s.claims.filter(~slot("claims").isin(0, 1, 7)).unionByName(changed).unionByName(extra)
+    denied = F.when(slot("denials") == 5, F.col("denied_amount") * 2).otherwise(F.col("denied_amount"))
+    old = s.with_tables(
+        claims=claims, payments=s.payments.filter(slot("payments") > 2), charges=s.charges.filter(slot("charges") > 0),
+        denials=s.denials.withColumn("denied_amount", denied),
+    )
+    rows = {
+        "claims": s.claims.filter(slot("claims").isin(0, 1, 7)), "payments": s.payments.filter(slot("payments") <= 2),
+        "charges": s.charges.filter(slot("charges") == 0), "denials": s.denials.filter(slot("denials") == 5),
+    }
+    return old, Changes(rows, {"claims": extra.select("claim_id")})
+
+
+def _keep_summaries(spark: SparkSession, root: str, folder: str) -> None:
+    old, changes = _earlier(star_silver(spark, root))
+    kept = summaries.Summaries(spark, folder)
+    kept.build(old)
+    kept.refresh(1, old, changes)
+
+
+def _replace_everything(spark: SparkSession, root: str, folder: str) -> None:
+    old, changes = _earlier(star_silver(spark, root))
+    for table in REPLACED:
+        write_partitioned(getattr(old, table), folder, table)
+        replace_rows(spark, folder, table, changes)
+
+
+_kept, _replaced = _once(_keep_summaries), _once(_replace_everything)
+REPLACED = ("claims", "payments", "charges")
+
+
+def _changed_queries() -> dict[str, Query]:
+    """The aggregate views from sums that took changes in, and stored tables in which rows were replaced."""
+
+    def view(spark: SparkSession, root: str, name: str) -> DataFrame:
+        found = summaries.Summaries(spark, _kept(spark, root)).views(star_silver(spark, root), AS_OF)
+        return _rounded(found[name], DIGITS)
+
+    def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+        stored = read_partitioned(spark, _replaced(spark, root), name).select(*[c for c, _ in TABLES[name]])
+        return _rounded(stored, DIGITS)
+
+    out: dict[str, Query] = {f"gold_kept_{n}": lambda spark, root, n=n: view(spark, root, n) for n in gold.VIEWS}
+    return out | {f"etl_replaced_{t}": lambda spark, root, t=t: table(spark, root, t) for t in REPLACED}
+
+
 #: Queries that also run over the stored typed layer.
 STORED = (
     "kpi_core_kpis", "kpi_core_kpis_filtered", "kpi_days_in_ar_trend_filtered", "kpi_provider_performance",
@@ -469,7 +527,7 @@ def all_queries() -> dict[str, Query]:
         _kpi_queries() | _other_queries() | _view_queries() | _series_queries() | _metric_queries() | _etl_queries()
     )
     return (
-        found | _pipeline_queries() | _stored_queries(found) | _loader_queries()
+        found | _pipeline_queries() | _changed_queries() | _stored_queries(found) | _loader_queries()
         | {_export_name(*key): _exported(*key) for key in (*EXPORTS, *ROW_EXPORTS)}
     )
 
@@ -489,6 +547,8 @@ def all_oracles() -> dict[str, str]:
             f"etl_broken_lines_{t}": f"SELECT * REPLACE ({c} || chr(10) || '\"' || {c} || '\", x' AS {c}) FROM ({found[f'etl_{t}']})"
             for t, c in BROKEN_TEXTS.items()
         }
+        | {f"gold_kept_{n}": found[f"gold_{n}"] for n in gold.VIEWS}
+        | {f"etl_replaced_{t}": f"SELECT * FROM ({typed_statement(t)})" for t in REPLACED}
         | {f"lake_{name}": found[name] for name in STORED}
         | {_export_name(*key): found[name] for key, name in EXPORTS.items()}
         | {_export_name(*key): sql for key, sql in row_sheet_statements().items()}

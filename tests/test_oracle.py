@@ -21,7 +21,7 @@ SELECTION = [
     "kpi_provider_performance", "kpi_data_freshness", "kpi_core_kpis_dept", "gold_department_performance",
     "gold_payer_performance", "proc_all", "diag_gold_counts", "dq_all", "view_page_scorecards",
     "view_department_drilldown_detail", "view_cascade_sizes", "ts_forecast_summary", "ts_model_stats", "ts_what_if_grid",
-    "metric_filtered", "metric_q_revenue_per_encounter", "etl_claims", "etl_denials", "etl_pipeline_charges", "etl_broken_lines_charges", "etl_broken_lines_claims",
+    "metric_filtered", "metric_q_revenue_per_encounter", "etl_claims", "etl_denials", "etl_pipeline_charges", "etl_broken_lines_charges", "etl_replaced_claims", "gold_kept_monthly_kpis", "gold_kept_department_performance", "etl_broken_lines_claims",
     "etl_pipeline_log", "lake_kpi_core_kpis_filtered", "lake_view_cascade_sizes", "loader_claims", "loader_operating_costs",
     "export_payer_analysis_payer_mix", "view_aging_detail", "view_cpt_summary",
 ]

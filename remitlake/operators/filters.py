@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlake.functions.columns import count_when, iso_date
@@ -125,11 +125,15 @@ def payer_id_of(silver: Silver, payer_name: str) -> DataFrame:
     return named.agg(F.min("payer_id").alias("payer_id")).filter("payer_id IS NOT NULL")
 
 
+def searched(df: DataFrame) -> Column:
+    """The text that a row is searched in: all its columns, in lower case."""
+    return F.lower(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]))
+
+
 def search(df: DataFrame, text: str = "", **equal: str) -> DataFrame:
     """Rows with the text in any column, ignoring case, and the given column values."""
     if text:
-        row = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
-        df = df.filter(F.contains(F.lower(row), F.lit(text.lower())))
+        df = df.filter(F.contains(searched(df), F.lit(text.lower())))
     for column, value in equal.items():
         df = df.filter(F.col(column) == value)
     return df

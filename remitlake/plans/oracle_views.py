@@ -651,6 +651,12 @@ def typed_statement(table: str) -> str:
     return statement(" ".join(f"{c}:d" if t == "double" else c for c, t in TABLES[table]), f"SELECT * FROM {table} x", {})
 
 
+def search_statement(text: str) -> str:
+    """Providers with a text in lower case in any column."""
+    columns = [c for c, _ in TABLES["providers"]]
+    return statement(" ".join(columns), f"SELECT * FROM providers x WHERE contains(lower(concat_ws('|', {', '.join(columns)})), '{text}')", {})
+
+
 def row_sheet_statements() -> dict[tuple[str, str], str]:
     rel = {**relations(EVERYTHING), **view_rel(EVERYTHING)}
     out = {}

@@ -13,7 +13,7 @@ from remitlake.operators import filters, gold, kpis, process, quality, semantic,
 from remitlake.operators.filters import FilterParams
 from remitlake.plans.oracle_kpis import KPI_SQL, kpi_statement
 from remitlake.plans.oracle_series import SERIES, series_statements
-from remitlake.plans.oracle_views import ROW_SHEETS, loaded_at, loader_statements, row_sheet_statements, typed_statement, view_statements
+from remitlake.plans.oracle_views import ROW_SHEETS, loaded_at, loader_statements, row_sheet_statements, search_statement, typed_statement, view_statements
 from remitlake.plans.params import (
     AS_OF,
     AS_OF_TIME,
@@ -34,6 +34,7 @@ from remitlake.sources.changes import Changes, read_partitioned, replace_rows, w
 from remitlake.sources.schemas import DATE_COLUMNS, KEYS, TABLES
 from remitlake.sources.silver import Silver, dashboard_types
 from remitlake.sources.star import star_raw, star_silver
+from remitlake.sources.text_index import indexed_search, write_indexed
 from remitlake.streaming.incremental import load_new_files_typed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,6 +432,24 @@ _kept, _replaced = _once(_keep_summaries), _once(_replace_everything)
 REPLACED = ("claims", "payments", "charges")
 
 
+_searchable = _once(
+    lambda spark, root, folder: write_indexed(star_silver(spark, root).providers, folder, KEYS["providers"])
+)
+
+
+def _search_queries() -> dict[str, Query]:
+    """The provider search over the indexed table: a long text, a short one, one that every row has."""
+
+    def find(spark: SparkSession, root: str, text: str, **equal: str) -> DataFrame:
+        return indexed_search(spark, _searchable(spark, root), KEYS["providers"], text, **equal)
+
+    return {
+        "view_search_providers_indexed": lambda spark, root: find(spark, root, "00000001", department="DEPT_3"),
+        "view_search_providers_short": lambda spark, root: find(spark, root, "7|"),
+        "view_search_providers_common": lambda spark, root: find(spark, root, "DEPT"),
+    }
+
+
 def _changed_queries() -> dict[str, Query]:
     """The aggregate views from sums that took changes in, and stored tables in which rows were replaced."""
 
@@ -527,7 +546,7 @@ def all_queries() -> dict[str, Query]:
         _kpi_queries() | _other_queries() | _view_queries() | _series_queries() | _metric_queries() | _etl_queries()
     )
     return (
-        found | _pipeline_queries() | _changed_queries() | _stored_queries(found) | _loader_queries()
+        found | _pipeline_queries() | _changed_queries() | _search_queries() | _stored_queries(found) | _loader_queries()
         | {_export_name(*key): _exported(*key) for key in (*EXPORTS, *ROW_EXPORTS)}
     )
 
@@ -547,6 +566,8 @@ def all_oracles() -> dict[str, str]:
             f"etl_broken_lines_{t}": f"SELECT * REPLACE ({c} || chr(10) || '\"' || {c} || '\", x' AS {c}) FROM ({found[f'etl_{t}']})"
             for t, c in BROKEN_TEXTS.items()
         }
+        | {"view_search_providers_indexed": found["view_search_providers"]}
+        | {f"view_search_providers_{n}": search_statement(t) for n, t in (("short", "7|"), ("common", "dept"))}
         | {f"gold_kept_{n}": found[f"gold_{n}"] for n in gold.VIEWS}
         | {f"etl_replaced_{t}": f"SELECT * FROM ({typed_statement(t)})" for t in REPLACED}
         | {f"lake_{name}": found[name] for name in STORED}

@@ -23,18 +23,35 @@ class FilterParams:
     encounter_type: str | None = None
 
 
+#: A claim's encounter department and type where they are stored with it.
+STORED_DEPARTMENT, STORED_TYPE = "_department", "_encounter_type"
+
+
+def _of_encounter(claims: DataFrame, p: FilterParams) -> DataFrame:
+    """Claims whose stored department and type are those asked for, without the stored columns."""
+    if STORED_DEPARTMENT not in claims.columns:
+        return claims
+    if p.department:
+        claims = claims.filter(F.col(STORED_DEPARTMENT) == p.department)
+    if p.encounter_type:
+        claims = claims.filter(F.col(STORED_TYPE) == p.encounter_type)
+    return claims.drop(STORED_DEPARTMENT, STORED_TYPE)
+
+
 def filtered_claims(silver: Silver, p: FilterParams) -> DataFrame:
     """Claims in scope, with claim columns only.
 
     Dates compare as text, so the range reaches the scan as a pushed filter. Encounters
-    are joined only if one of their columns is asked for: encounter_id is the key of
-    encounters, so the join could neither add nor drop a claim otherwise. With such a
-    filter a claim without an encounter drops out.
+    are joined only if one of their columns is asked for and not stored with the claims:
+    encounter_id is the key of encounters, so the join could neither add nor drop a claim
+    otherwise. With such a filter a claim without an encounter drops out.
     """
     claims = silver.claims.filter(F.col("date_of_service").between(p.start_date, p.end_date))
     if p.payer_id:
         claims = claims.filter(F.col("payer_id") == p.payer_id)
-    if p.department or p.encounter_type:
+    stored = STORED_DEPARTMENT in claims.columns
+    claims = _of_encounter(claims, p)
+    if not stored and (p.department or p.encounter_type):
         encounters = silver.encounters
         if p.department:
             encounters = encounters.filter(F.col("department") == p.department)
@@ -53,6 +70,7 @@ def _scope(silver: Silver, p: FilterParams) -> tuple[DataFrame, DataFrame]:
     claims = silver.claims.filter(in_range)
     if p.payer_id:
         claims = claims.filter(F.col("payer_id") == p.payer_id)
+    claims = _of_encounter(claims, p)
     encounters = silver.encounters.filter(in_range)
     if p.department:
         encounters = encounters.filter(F.col("department") == p.department)

@@ -31,6 +31,7 @@ from remitlake.plans.params import (
 from remitlake.session import set_scale_conf
 from remitlake.sources import export, ingest, layout
 from remitlake.sources.changes import Changes, read_partitioned, replace_rows, write_partitioned
+from remitlake.sources.interleave import with_interleaved, write_interleaved
 from remitlake.sources.schemas import DATE_COLUMNS, KEYS, TABLES
 from remitlake.sources.silver import Silver, dashboard_types
 from remitlake.sources.star import star_raw, star_silver
@@ -473,8 +474,21 @@ STORED = (
 )
 
 
+_by_payer = _once(lambda spark, root, folder: write_interleaved(star_silver(spark, root), folder, 16))
+#: Queries that also run over claims in interleaved order: by payer, by department, by date.
+INTERLEAVED = (
+    "kpi_core_kpis", "kpi_core_kpis_dept", "kpi_payer_mix_filtered", "kpi_gross_collection_rate_trend_dept",
+    "view_cascade_claims_filtered", "view_cascade_sizes", "view_payer_drilldown_totals",
+)
+
+
+def _interleaved_silver(spark: SparkSession, root: str) -> Silver:
+    return with_interleaved(spark, star_silver(spark, root), _by_payer(spark, root))
+
+
 def _stored_queries(queries: dict[str, Query]) -> dict[str, Query]:
-    return {f"lake_{name}": queries[name].over(_stored_silver) for name in STORED}
+    out = {f"lake_{name}": queries[name].over(_stored_silver) for name in STORED}
+    return out | {f"interleaved_{name}": queries[name].over(_interleaved_silver) for name in INTERLEAVED}
 
 
 #: Export (set, sheet) -> the query whose rows it holds.
@@ -571,6 +585,7 @@ def all_oracles() -> dict[str, str]:
         | {f"gold_kept_{n}": found[f"gold_{n}"] for n in gold.VIEWS}
         | {f"etl_replaced_{t}": f"SELECT * FROM ({typed_statement(t)})" for t in REPLACED}
         | {f"lake_{name}": found[name] for name in STORED}
+        | {f"interleaved_{name}": found[name] for name in INTERLEAVED}
         | {_export_name(*key): found[name] for key, name in EXPORTS.items()}
         | {_export_name(*key): sql for key, sql in row_sheet_statements().items()}
         | loader_statements(MORE_DIGITS)

@@ -90,3 +90,28 @@ DAR_BENCHMARK = 35.0
 
 # Allowed claim states.
 CLAIM_STATUSES = ("Paid", "Partially Paid", "Denied", "Pending", "Appealed")
+
+# Steps of the revenue waterfall (label, kind).
+WATERFALL_STEPS = [
+    ("Total Charges", "absolute"),
+    ("Adjustments", "relative"),
+    ("Denials (Lost)", "relative"),
+    ("Collections", "relative"),
+    ("Net Revenue", "total"),
+]
+
+# Export sets and their sheets.
+EXPORT_SHEETS = {
+    "collections_revenue": ("Financial Summary", "Filtered Claims", "Filtered Payments", "Filtered Adjustments"),
+    "claims_denials": ("Denial Reasons", "Filtered Claims", "Filtered Denials"),
+    "claim_scrubbing_breakdown": ("Scrubbing Breakdown",),
+    "ar_aging_cashflow": ("AR Aging Summary", "Cash Flow"),
+    "payer_analysis": ("Payer Comparison", "Payer Mix", "Denial by Payer"),
+    "department_performance": ("Department Summary", "Encounter Type Mix"),
+    "provider_performance": ("Provider Scorecard",),
+    "cpt_code_analysis": ("CPT Code Analysis",),
+    "underpayment_analysis": ("Underpayment by Payer",),
+    "patient_responsibility": ("Patient Responsibility",),
+    "payer_drilldown": ("Claims", "Denials"),
+    "dept_drilldown": ("Encounters & Claims", "Denials"),
+}

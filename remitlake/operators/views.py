@@ -25,7 +25,7 @@ from remitlake.functions.columns import (
     to_rows,
     total,
 )
-from remitlake.functions.fixed_values import ALERT_LIMITS, EXTRA_CUTS, SCORECARD_CUTS
+from remitlake.functions.fixed_values import ALERT_LIMITS, EXPORT_SHEETS, EXTRA_CUTS, SCORECARD_CUTS, WATERFALL_STEPS
 from remitlake.operators import kpis as k
 from remitlake.operators.filters import FilterParams, cascade, filtered_claims
 from remitlake.operators.ledger import EXACT, shortfall, with_payments
@@ -197,13 +197,8 @@ def revenue_waterfall(silver: Silver, p: FilterParams) -> DataFrame:
     """Steps from charges to net revenue; the collections step balances the others."""
     sums = _money(silver, p)
     charges, lost = F.col("charges"), F.col("lost")
-    steps = [
-        ("Total Charges", "absolute", charges),
-        ("Adjustments", "relative", -F.col("adjustments")),
-        ("Denials (Lost)", "relative", -lost),
-        ("Collections", "relative", F.col("payments") - charges + F.col("adjustments") + lost),
-        ("Net Revenue", "total", F.lit(0.0)),
-    ]
+    amounts = (charges, -F.col("adjustments"), -lost, F.col("payments") - charges + F.col("adjustments") + lost, F.lit(0.0))
+    steps = [(name, kind, v) for (name, kind), v in zip(WATERFALL_STEPS, amounts, strict=True)]
     return sums.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(name).alias("label"), F.lit(kind).alias("measure"), v.alias("amount"))
         for i, (name, kind, v) in enumerate(steps, 1)
@@ -549,38 +544,30 @@ def aging_detail(silver: Silver, p: FilterParams) -> DataFrame:
 def export_sets(silver: Silver, p: FilterParams, payer_id: str | None = None, department: str | None = None) -> dict:
     """Every named export: set -> sheet -> frame. The drill-down sets need their key."""
     scope = cascade(silver, p)
-    sets = {
-        "collections_revenue": {
-            "Financial Summary": financial_summary(silver, p),
-            "Filtered Claims": scope.claims,
-            "Filtered Payments": scope.payments,
-            "Filtered Adjustments": scope.adjustments,
-        },
-        "claims_denials": {
-            "Denial Reasons": detail_table(silver, p, "denial_reasons"),
-            "Filtered Claims": scope.claims,
-            "Filtered Denials": scope.denials,
-        },
-        "claim_scrubbing_breakdown": {"Scrubbing Breakdown": detail_table(silver, p, "scrubbing")},
-        "ar_aging_cashflow": {"AR Aging Summary": k.ar_aging(silver, p), "Cash Flow": cash_flow(silver, p)},
-        "payer_analysis": {
-            "Payer Comparison": payer_comparison(silver, p),
-            "Payer Mix": k.payer_mix(silver, p),
-            "Denial by Payer": k.denial_rate_by_payer(silver, p),
-        },
-        "department_performance": {
-            "Department Summary": k.department_performance(silver, p),
-            "Encounter Type Mix": encounter_type_by_department(silver, p),
-        },
-        "provider_performance": {"Provider Scorecard": provider_scorecard(silver, p)},
-        "cpt_code_analysis": {"CPT Code Analysis": detail_table(silver, p, "cpt")},
-        "underpayment_analysis": {"Underpayment by Payer": detail_table(silver, p, "underpayment")},
-        "patient_responsibility": {"Patient Responsibility": detail_table(silver, p, "patient_resp")},
+
+    def detail(which: str) -> DataFrame:
+        return detail_table(silver, p, which)
+
+    frames = {
+        "collections_revenue": (financial_summary(silver, p), scope.claims, scope.payments, scope.adjustments),
+        "claims_denials": (detail("denial_reasons"), scope.claims, scope.denials),
+        "claim_scrubbing_breakdown": (detail("scrubbing"),),
+        "ar_aging_cashflow": (k.ar_aging(silver, p), cash_flow(silver, p)),
+        "payer_analysis": (payer_comparison(silver, p), k.payer_mix(silver, p), k.denial_rate_by_payer(silver, p)),
+        "department_performance": (k.department_performance(silver, p), encounter_type_by_department(silver, p)),
+        "provider_performance": (provider_scorecard(silver, p),),
+        "cpt_code_analysis": (detail("cpt"),),
+        "underpayment_analysis": (detail("underpayment"),),
+        "patient_responsibility": (detail("patient_resp"),),
     }
     if payer_id:
         one = payer_drilldown(silver, p, payer_id)
-        sets[f"payer_drilldown_{payer_id}"] = {"Claims": one["detail"], "Denials": one["denials"]}
+        frames["payer_drilldown", payer_id] = (one["detail"], one["denials"])
     if department:
         one = department_drilldown(silver, p, department)
-        sets[f"dept_drilldown_{department}"] = {"Encounters & Claims": one["detail"], "Denials": one["denials"]}
+        frames["dept_drilldown", department] = (one["detail"], one["denials"])
+    sets = {}
+    for label, sheets in frames.items():
+        name, of = label if isinstance(label, tuple) else (label, None)
+        sets[f"{name}_{of}" if of else name] = dict(zip(EXPORT_SHEETS[name], sheets, strict=True))
     return sets

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import U64, bounded, mix, rolling, row_key, runs, stored, whole_text
 
 WIDTH, DEPTH, BATCHES = 400, 24, 4
-#: A group of suffixes with more distinct surroundings than this is compared by shuffled rows, not within one task.
+#: A group of suffixes with more distinct surroundings than this is not compared within one task.
 GROUP = 2048
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -103,7 +103,7 @@ def _surroundings(width: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for i, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     data = as_bytes(text)
                     chosen, first, last = owners(data, width)
@@ -116,9 +116,10 @@ def _surroundings(width: int):
                         out[2].append(span)
                         out[3].append(key)
                         out[4].append(lo)
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+                        out[5].append(c - lo)
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(out, kinds)], names=["p", "digest", "span", "key", "lo"]
+                    [pa.array(x, k) for x, k in zip(out, kinds)], names=["p", "digest", "span", "key", "lo", "place"]
                 )
 
     return emit
@@ -163,23 +164,116 @@ def _group_windows(width: int):
     return emit
 
 
-def _window_rows(width: int):
+def _common(one: bytes, two: bytes) -> int:
+    """Length of the common beginning."""
+    if one[: len(two)] == two[: len(one)]:
+        return min(len(one), len(two))
+    low, high = 0, min(len(one), len(two))
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if one[:middle] == two[:middle] else (low, middle)
+    return low
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, reach): how much of its text a class has in common with another of its group, from rows sorted by group and
+    text: the neighbours have most in common. At the ends of a partition a neighbour is unknown and all may be common."""
+    before = None  # group and text of the row before, and what the row held has in common with the one before it
+    held: tuple | None = None
+    for batch in batches:
+        digests, reach = [], []
+        for p, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
+            shared = len(text) if before is None else _common(before[1], text) if before[0] == p else 0
+            if held is not None:
+                digests.append(held[0])
+                reach.append(max(held[1], shared if before[0] == p else 0))
+            held, before = (digest, shared), (p, text)
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(reach, pa.int32())], names=["digest", "reach"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.binary()), pa.array([len(before[1])], pa.int32())], names=["digest", "reach"])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes from the suffix's place on, and those before it, backwards."""
+    for batch in batches:
+        p, digest, span, place = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([s[c:] for s, c in zip(span, place)], pa.binary()),
+             pa.array([s[:c][::-1] for s, c in zip(span, place)], pa.binary())],
+            names=["p", "digest", "right", "left"],
+        )
+
+
+def _possible_windows(width: int):
+    """Windows that may repeat: with ``d`` bytes before the suffix's place, ``d`` of them and ``width - d`` after it must each
+    be shared with some class. Windows that do so within a batch leave as runs, the others, and one of each kind, as rows."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, digest, span, size in zip(*(c.to_pylist() for c in batch.columns)):
-                h = rolling(_BYTE[np.frombuffer(span, dtype=np.uint8)], width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h.view(np.int64)), pa.array(np.full(len(h), p, dtype=np.int64)),
-                        pa.array([digest] * len(h), pa.binary()), pa.array(np.full(len(h), size, dtype=np.int64)),
-                        pa.array(np.arange(len(h), dtype=np.int32)),
-                    ],
-                    names=["h", "p", "digest", "size", "at"],
-                )
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                hashes, owner, places = [], [], []
+                rows = list(zip(*(c.to_pylist() for c in part.columns)))
+                for i, (p, _, span, place, right, left, _) in enumerate(rows):
+                    first, last = max(place - left, 0), min(place + right - width, len(span) - width)
+                    if last >= first:
+                        piece = np.frombuffer(span, dtype=np.uint8)[first : last + width]
+                        found = rolling(_BYTE[piece], width) ^ mix(np.array([p], dtype=np.int64).view(U64))
+                        hashes.append(found)
+                        owner.append(np.full(len(found), i))
+                        places.append(np.arange(first, last + 1))
+                if not hashes:
+                    continue
+                h, who, where = (np.concatenate(x) for x in (hashes, owner, places))
+                weight = np.array([r[6] for r in rows])[who]
+                order = np.argsort(h, kind="stable")
+                ordered = h[order]
+                new = np.r_[True, ordered[1:] != ordered[:-1]]
+                group = np.empty(len(h), dtype=np.int64)
+                group[order] = np.cumsum(new) - 1
+                twice = np.bincount(group, weights=weight)[group] > 1
+                one = np.zeros(len(h), dtype=bool)
+                one[order[new]] = True
+                out: list[list] = [[], [], [], [], []]
+                marked = np.flatnonzero(twice)
+                for piece in np.split(marked, np.flatnonzero(np.diff(who[marked])) + 1) if len(marked) else ():
+                    for a, b in zip(*(x.tolist() for x in runs(where[piece]))):
+                        for column, value in zip(out, (None, rows[who[piece[0]]][1], a, b, 2)):
+                            column.append(value)
+                alone = np.flatnonzero(one)
+                out[0] += h[alone].view(np.int64).tolist()
+                out[1] += [rows[i][1] for i in who[alone].tolist()]
+                out[2] += where[alone].tolist()
+                out[3] += where[alone].tolist()
+                out[4] += np.where(twice[alone], 2, 1).tolist()
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "digest", "first", "last", "size"])
 
     return emit
 
 
+def _repeated_in_large(classes: DataFrame, width: int) -> DataFrame:
+    """As ``_repeated`` for groups too large for a task: what two classes have in common bounds the windows looked at."""
+    sides = stored(classes.select("p", "digest", "span", "place").mapInArrow(_sides, "p long, digest binary, right binary, left binary"), "sides")
+
+    def reach(side: str) -> DataFrame:
+        rows = sides.select("p", "digest", side).repartitionByRange("p", side).sortWithinPartitions("p", side)
+        return rows.mapInArrow(_longest, "digest binary, reach int").withColumnRenamed("reach", side)
+
+    bounds = classes.join(reach("right"), "digest").join(reach("left"), "digest").where(F.col("right") + F.col("left") >= width)
+    found = bounds.select("p", "digest", "span", "place", "right", "left", "size").mapInArrow(
+        _possible_windows(width), "h long, digest binary, first int, last int, size long"
+    )
+    found = stored(found, "windows")
+    single = found.where("h IS NOT NULL")
+    twice = single.groupBy("h").agg(F.sum("size").alias("c")).where("c > 1").select("h")
+    alike = single.join(twice, "h", "left_semi").select("digest", "first", "last")
+    copies = classes.where("size > 1").select("digest", F.lit(0).alias("first"), (F.length("span") - width).alias("last"))
+    every = alike.unionByName(found.where("h IS NULL").select("digest", "first", "last")).unionByName(copies)
+    ordered = F.sort_array(F.collect_set(F.struct("first", "last")))
+    return every.groupBy("digest").agg(ordered.alias("x")).select("digest", F.col("x.first").alias("first"), F.col("x.last").alias("last"))
+
+
 def _repeated(classes: DataFrame, width: int) -> DataFrame:
     """(digest, first, last): runs of repeated windows of each class of equal surroundings, counted from its start."""
     sizes = classes.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
@@ -191,12 +285,7 @@ def _repeated(classes: DataFrame, width: int) -> DataFrame:
     )
     if not bytes_:
         return within
-    rows = classes.join(bounded(large, bytes_), "p", "left_semi").select("p", "digest", "span", "size").mapInArrow(
-        _window_rows(width), "h long, p long, digest binary, size long, at int"
-    )
-    twice = rows.withColumn("c", F.sum("size").over(Window.partitionBy("h", "p"))).where("c > 1")
-    starts = twice.groupBy("digest").agg(F.sort_array(F.collect_list("at")).alias("first"))
-    return within.unionByName(starts.select("digest", "first", F.col("first").alias("last")))
+    return within.unionByName(_repeated_in_large(classes.join(bounded(large, bytes_), "p", "left_semi"), width))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +357,10 @@ def suffix_dedup(
     size = places.agg(F.coalesce(F.sum(40 + 4 * F.size("places")), F.lit(0))).first()[0]
     around = keyed.select("key", "text").join(bounded(places, size), "key").select("key", "text", "places")
     around = stored(
-        around.mapInArrow(_surroundings(width), "p long, digest binary, span binary, key long, lo int"), "surroundings"
+        around.mapInArrow(_surroundings(width), "p long, digest binary, span binary, key long, lo int, place int"), "surroundings"
     )
     classes = stored(
-        around.groupBy("p", "digest").agg(F.count(F.lit(1)).alias("size"), F.first("span").alias("span")), "classes"
+        around.groupBy("p", "digest").agg(F.count(F.lit(1)).alias("size"), F.first("span").alias("span"), F.first("place").alias("place")), "classes"
     )
     repeated = _repeated(classes, width).where(F.size("first") > 0)
     run = F.expr("transform(arrays_zip(first, last), x -> struct(lo + x.first AS a, lo + x.last AS b))")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from remitlake.functions.columns import iso_date
 from remitlake.operators.filters import STORED_DEPARTMENT, STORED_TYPE
+from remitlake.sources.records import drop_folder, work_folder
 from remitlake.sources.schemas import typed_schema
 from remitlake.sources.silver import Silver
 
@@ -52,11 +53,17 @@ def write_interleaved(silver: Silver, root: str, files: int | None = None, bits:
         "encounter_id", F.col("department").alias(STORED_DEPARTMENT), F.col("encounter_type").alias(STORED_TYPE)
     )
     claims = silver.claims.join(encounters, "encounter_id", "left").select(*silver.claims.columns, STORED_DEPARTMENT, STORED_TYPE)
-    day = F.datediff(iso_date("date_of_service"), F.lit("1970-01-01").cast("date")).cast("double")
-    order = interleaved(claims, [day, text_rank("payer_id"), text_rank(STORED_DEPARTMENT)], bits)
-    placed = claims.withColumn("_order", order)
-    ranged = placed.repartitionByRange(files, "_order", "claim_id") if files else placed.repartitionByRange("_order", "claim_id")
-    ranged.sortWithinPartitions("_order", "date_of_service").drop("_order").write.mode("overwrite").parquet(f"{root}/claims")
+    scratch = work_folder(root)
+    try:
+        claims.write.parquet(scratch)  # put together once: the bounds, the sample of the ranges and the rows are read from it
+        claims = silver.claims.sparkSession.read.schema(claims.schema).parquet(scratch)
+        day = F.datediff(iso_date("date_of_service"), F.lit("1970-01-01").cast("date")).cast("double")
+        order = interleaved(claims, [day, text_rank("payer_id"), text_rank(STORED_DEPARTMENT)], bits)
+        placed = claims.withColumn("_order", order)
+        ranged = placed.repartitionByRange(files, "_order", "claim_id") if files else placed.repartitionByRange("_order", "claim_id")
+        ranged.sortWithinPartitions("_order", "date_of_service").drop("_order").write.mode("overwrite").parquet(f"{root}/claims")
+    finally:
+        drop_folder(silver.claims.sparkSession, scratch)
 
 
 def with_interleaved(spark: SparkSession, silver: Silver, root: str) -> Silver:

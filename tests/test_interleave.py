@@ -1,9 +1,11 @@
 """Claims in interleaved order: which files a filter has to read, and that results stay."""
 
 import glob
+import os
 
 import pyarrow.parquet as pq
 import pytest
+from conftest import claim, encounter
 
 from remitlake.operators import kpis
 from remitlake.operators.filters import FilterParams, cascade, filtered_claims
@@ -74,3 +76,29 @@ def test_ranks_follow_the_texts(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", interleave.text_rank("t").alias("r"))
     rows = sorted(frame.collect(), key=lambda r: r.t.encode())
     assert [r.r for r in rows] == sorted(r.r for r in rows) and len({r.r for r in rows}) == len(texts)
+
+
+def test_claims_are_put_together_once(spark, make_silver, folder, monkeypatch):
+    """Bounds, ranges and rows are read from stored claims; the work folder goes."""
+    read = []
+    plain = interleave.interleaved
+    monkeypatch.setattr(interleave, "interleaved", lambda frame, *more: read.extend(frame.inputFiles()) or plain(frame, *more))
+    silver = make_silver(claims=[claim(i) for i in range(20)], encounters=[encounter(i) for i in range(15)])
+    interleave.write_interleaved(silver, folder, 2)
+    assert read and all("/_work/" in f for f in read)
+    assert interleave.with_interleaved(spark, silver, folder).claims.count() == 20 and not os.listdir(f"{folder}/_work")
+
+
+def test_partitions_grow_with_the_input(spark, folder, monkeypatch):
+    from remitlake import session
+
+    spark.range(1000).write.parquet(f"{folder}/rows")
+    paths = [f"{folder}/rows", f"{folder}/none"]
+    assert session.partitions_for(spark, paths) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = session.stored_bytes(spark, paths)
+    monkeypatch.setattr(session, "INPUT_PER_PARTITION", size // 50)
+    assert 50 <= session.partitions_for(spark, paths) <= 52
+    other = spark.newSession()
+    other.conf.set(session.INITIAL, "7")  # its owner's choice
+    session.set_partitions_for(other, paths)
+    assert other.conf.get(session.INITIAL) == "7"

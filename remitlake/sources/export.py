@@ -11,10 +11,14 @@ def _folder(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_-]+", "_", name).strip("_")
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, one_file: bool = False, packed: bool = False) -> None:
     """Header row, no index. ``one_file`` suits report tables of a few thousand rows only;
-    row-level exports are written by as many tasks as the data has partitions."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    row-level exports are written by as many tasks as the data has partitions. ``packed`` writes each file as gzip, with
+    little effort; such a file is read by one task, so the data needs partitions enough."""
+    writer = (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"')
+    if packed:
+        writer = writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    writer.csv(path)
 
 
 def write_sets(sets: dict[str, dict[str, DataFrame]], root: str) -> list[str]:

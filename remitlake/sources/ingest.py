@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlake.sources.records import drop_folder, records, stored_lines, work_folder
+from remitlake.sources.records import drop_folder, lines_stand_alone, records, stored_lines, work_folder
 from remitlake.sources.schemas import KEYS, TABLES, raw_schema
 from remitlake.sources.silver import Silver
 
@@ -52,14 +52,21 @@ def null_texts(df: DataFrame) -> DataFrame:
 def load_raw(spark: SparkSession, source: str, target: str, tables: list[str] | None = None) -> None:
     """Full reload of ``source/<table>.csv`` into ``target/<table>``, stamped with the load time.
 
-    Files are read once and split by size; line breaks inside quoted fields are allowed. A file that ends inside a quoted
-    field is refused before anything of it is written. The lines lie below ``target`` until the table is written.
+    Files are split by size; line breaks inside quoted fields are allowed. A first pass looks for lines that end inside a
+    quoted field: without any, Spark's reader takes every line as a record and nothing is kept in between. With some, the
+    lines lie below ``target`` until the table is written. A file that ends inside a quoted field is refused before anything
+    of it is written.
     """
     for table in tables or TABLES:
         scratch = work_folder(target)
         try:
-            frame = parsed(stored_lines(spark, f"{source}/{table}.csv", scratch), table, scratch)
-            frame.withColumn("_loaded_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/{table}")
+            path = f"{source}/{table}.csv"
+            if lines_stand_alone(spark, path, scratch):
+                frame = read_csv(spark, path, table)
+            else:
+                frame = parsed(stored_lines(spark, path, scratch), table, scratch)
+            stamped = frame.withColumn("_loaded_at", F.current_timestamp())
+            stamped.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/{table}")
         finally:
             drop_folder(spark, scratch)
 
@@ -136,7 +143,7 @@ def write_typed(silver: Silver, target: str, clustered: bool = True, tables: Ite
         order = CLUSTER_BY.get(table)
         if clustered and order:
             frame = frame.repartitionByRange(*order).sortWithinPartitions(*order)
-        frame.write.mode("overwrite").parquet(f"{target}/{table}")
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/{table}")
 
 
 # ---------------------------------------------------------------- load log

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from remitlake.sources import ingest
+from remitlake.sources import export, ingest
 from remitlake.sources import records as rec
 from remitlake.sources.schemas import TABLES
 
@@ -98,3 +98,27 @@ def test_lines_are_read_once_and_plain_files_need_no_shuffle_of_lines(spark, fol
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" not in plan and "SortMergeJoin" not in plan and "Window" not in plan
     assert frame.count() == 200
+
+
+def test_lines_are_kept_only_if_some_are_broken(spark, folder, small_splits, monkeypatch):
+    """Files whose lines are all records load without a copy of their lines, packed or not, as Spark's reader reads them."""
+    os.makedirs(f"{folder}/stage/payers.csv")
+    write_file(f"{folder}/stage/payers.csv/a.csv", 150, 0.0)
+    with open(f"{folder}/stage/payers.csv/b.csv", "w") as f:
+        f.write('a,b,c,d,e\nk,"x, ""y""",z,1,"c"\n  \n\nl," q ",z\n')
+    kept = []
+    monkeypatch.setattr(ingest, "stored_lines", lambda *args: kept.append(args) or rec.stored_lines(*args))
+    expected = counted(ingest.read_csv(spark, f"{folder}/stage/payers.csv", "payers", multi_line=True))
+    assert loaded(spark, folder) == expected and sum(expected.values()) == 152 and not kept
+    with open(f"{folder}/stage/payers.csv/c.csv", "w") as f:
+        f.write("a,b,c,d,e\nm,x,y,1,c\n \t \nn,x,y,1,c\n")
+    assert loaded(spark, folder) - expected >= collections.Counter([("m", "x", "y", "1", "c"), ("n", "x", "y", "1", "c")])
+    assert len(kept) == 1  # a line of blanks and a tab is a row of the raw layer, as before
+
+
+def test_packed_files_load_as_plain_ones(spark, folder):
+    rows = spark.createDataFrame([(f"P{i}", 'say "no", twice', "t", str(i), None) for i in range(50)], ingest.raw_schema("payers")).repartition(3)
+    export.write_csv(rows, f"{folder}/stage/payers.csv", packed=True)
+    assert all(n.endswith(".csv.gz") for n in os.listdir(f"{folder}/stage/payers.csv") if n.startswith("part-"))
+    assert loaded(spark, folder) == counted(rows)
+    assert all(".zstd." in n for n in os.listdir(f"{folder}/raw/payers") if n.startswith("part-"))

@@ -47,13 +47,13 @@ def write_bucketed(silver: Silver, root: str, buckets: int, uneven: float = UNEV
     for table, frame in silver.tables().items():
         key = BUCKET_BY.get(table)
         if not key:
-            frame.write.mode("overwrite").parquet(f"{root}/{table}")
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table}")
         elif fullest_bucket(frame, key, buckets) > max(uneven, 1.0) and frame.count() > buckets:
             order = _sorted_by(table)
-            frame.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{root}/{table}")
+            frame.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{table}")
         else:
             name = f"writing_{uuid.uuid4().hex}"
-            writer = frame.repartition(buckets, key).write.mode("overwrite").option("path", f"{root}/{table}")
+            writer = frame.repartition(buckets, key).write.mode("overwrite").option("compression", "zstd").option("path", f"{root}/{table}")
             writer.bucketBy(buckets, key).sortBy(*_sorted_by(table)).saveAsTable(name)
             frame.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay
             layout.append((table, key, buckets))

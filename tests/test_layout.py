@@ -93,3 +93,19 @@ def test_a_second_write_replaces_the_first(spark, make_silver, folder):
     layout.write_bucketed(make_silver(claims=[claim(1)]), folder, 2)
     stored = layout.open_bucketed(spark, folder, f"t_{folder.rsplit('-', 1)[-1]}")
     assert stored.claims.count() == 1 and stored.payments.count() == 0
+
+
+def test_stored_tables_are_zstd_and_tasks_small(spark, make_silver, folder):
+    """What a task shuffles and sorts follows these sizes; a value of the session's owner stays."""
+    import os
+
+    from remitlake.session import set_scale_conf
+
+    layout.write_bucketed(silver_of(make_silver), folder, 4)
+    names = [n for t in ("claims", "charges", "payers") for n in os.listdir(f"{folder}/{t}") if n.startswith("part-")]
+    assert names and all(".zstd." in n for n in names)
+    own, other = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    session = spark.newSession()
+    session.conf.set(own, "7m")
+    set_scale_conf(session)
+    assert (session.conf.get(own), session.conf.get(other)) == ("7m", "16m")

@@ -83,7 +83,8 @@ def number(c: str) -> Column:
 
 def whole_number(c: str) -> Column:
     """Text to integer, half away from zero for a fraction, NULL for anything else."""
-    return F.round(F.col(c).try_cast("decimal(38,18)"), 0).try_cast("int")
+    rounded = F.round(F.col(c).try_cast("decimal(38,18)"), 0).try_cast("int")
+    return F.when(F.col(c).rlike(r"\A[0-9]{1,9}\z"), F.col(c).try_cast("int")).otherwise(rounded)  # digits need no decimal
 
 
 def flag(c: str) -> Column:

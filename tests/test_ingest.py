@@ -85,6 +85,15 @@ def test_blank_key_that_survived_the_raw_layer_is_dropped(spark):
     assert [r["payer_id"] for r in rows(ingest.to_typed(raw, "payers"))] == ["P"]
 
 
+def test_whole_numbers_of_digits_are_cast_without_decimals(spark):
+    texts = ["13", "0012", "0", "999999999", "1234567890", "2147483647", "2147483648", "-3", "2.5", "-2.5", " 7 ", "1e2", "12a", "", None, "7\n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.round(F.col("t").try_cast("decimal(38,18)"), 0).try_cast("int")
+    found = frame.select("t", ingest.whole_number("t").alias("n"), plain.alias("p")).collect()
+    assert [r["n"] for r in found] == [r["p"] for r in found] and [r["n"] for r in found][:5] == [13, 12, 0, 999999999, 1234567890]
+    assert "RLIKE" in str(ingest.whole_number("t")) or "rlike" in str(ingest.whole_number("t"))
+
+
 def test_typed_silver_is_lazy_per_table(spark):
     raw = {t: spark.createDataFrame([], raw_schema(t)) for t in TABLES}
     silver = ingest.typed_silver(raw)

@@ -1,11 +1,13 @@
 """Records of split files against Spark's reader of whole files."""
 
 import collections
+import gzip
 import os
 import random
 
 import pytest
 
+from remitlake.session import CLEANUP, shuffles_end_with_write
 from remitlake.sources import export, ingest
 from remitlake.sources import records as rec
 from remitlake.sources.schemas import TABLES
@@ -122,3 +124,67 @@ def test_packed_files_load_as_plain_ones(spark, folder):
     assert all(n.endswith(".csv.gz") for n in os.listdir(f"{folder}/stage/payers.csv") if n.startswith("part-"))
     assert loaded(spark, folder) == counted(rows)
     assert all(".zstd." in n for n in os.listdir(f"{folder}/raw/payers") if n.startswith("part-"))
+
+
+def shuffled_rows(frame):
+    """Rows that the exchanges of a frame wrote when it ran."""
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return below(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return below(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(below(node.children().apply(i)) for i in range(node.children().size()))
+
+    frame.collect()
+    return below(frame._jdf.queryExecution().executedPlan())
+
+
+def test_lines_of_broken_records_stay_where_they_lie(spark, folder):
+    """Every record is broken over two or three lines, but only a few rows per piece are shuffled, and nothing else is kept."""
+    os.makedirs(f"{folder}/stage")
+    with open(f"{folder}/stage/payers.csv", "w") as f:
+        f.write("a,b,c,d,e\n" + "".join(f'P{i},"a\n""b"", x{chr(10) * (i % 2)}",t,1,c\n' for i in range(3000)))
+    assert not rec.lines_stand_alone(spark, f"{folder}/stage/payers.csv", f"{folder}/first")
+    assert spark.read.parquet(f"{folder}/first/open").count() == 1
+    lines = rec.stored_lines(spark, f"{folder}/stage/payers.csv", f"{folder}/lines")
+    frame = ingest.parsed(lines, "payers", f"{folder}/scratch")
+    assert shuffled_rows(frame) + shuffled_rows(rec.splits(lines)) < 300
+    assert counted(frame) == counted(ingest.read_csv(spark, f"{folder}/stage/payers.csv", "payers", multi_line=True))
+    assert frame.count() == 3000 and not [t for t in spark.catalog.listTables() if t.name.startswith("lines_")]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_records_over_many_pieces(spark, folder, monkeypatch, request, split):
+    """Pieces of four lines, so that records begin, end and lie within them in every way; one file is packed."""
+    if split:
+        request.getfixturevalue("small_splits")
+    monkeypatch.setattr(rec, "PIECE_BITS", 2)
+    monkeypatch.setattr(rec, "PART_BITS", 3)
+    os.makedirs(f"{folder}/stage/payers.csv")
+    write_file(f"{folder}/stage/payers.csv/a.csv", 300, 0.2)
+    write_file(f"{folder}/stage/payers.csv/b.csv", 100, 0.9, 'payer_id,"payer\n\n\n\n\n\nname",payer_type,avg,contract_id')
+    with open(f"{folder}/stage/payers.csv/b.csv", "a") as f:
+        f.write('long,"' + "\n".join(["x", "", '""y""', ","] * 20) + '","\n",1,"\nc"\n\nafter,x,y,1,c\n')
+    write_file(f"{folder}/plain.csv", 60, 0.4)
+    with open(f"{folder}/plain.csv", "rb") as f, gzip.open(f"{folder}/stage/payers.csv/c.csv.gz", "wb") as g:
+        g.write(f.read())
+    lines = rec.stored_lines(spark, f"{folder}/stage/payers.csv", f"{folder}/lines")
+    known = rec.splits(lines)
+    assert known.where("begins AND closes IS NULL").count() and known.where("begins AND ends AND opened IS NOT NULL").count()
+    expected = counted(ingest.read_csv(spark, f"{folder}/stage/payers.csv", "payers", multi_line=True))
+    assert loaded(spark, folder) == expected and sum(expected.values()) == 462
+
+
+def test_shuffles_end_with_the_write(spark, folder):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = kept()
+    with shuffles_end_with_write(spark):
+        spark.range(1000).repartition(3).write.parquet(f"{folder}/rows")
+    assert not kept() - before and spark.conf.get(CLEANUP, None) is None
+    assert spark.read.parquet(f"{folder}/rows").count() == 1000
